@@ -103,7 +103,8 @@ def _own(value: object) -> str:
     """The node's scalar fields as JSON; nested parts live in their own rows."""
     if not isinstance(value, dict):
         return "{}"
-    return json.dumps({k: v for k, v in value.items() if not isinstance(v, dict | list)}, ensure_ascii=False)
+    scalars = {k: v for k, v in value.items() if not isinstance(v, dict | list) and not isinstance(as_object(v), dict)}
+    return json.dumps(scalars, ensure_ascii=False)
 
 
 def nodes(df: DataFrame, key: str = "record_id", payload: str = "payload", objects: tuple[str, ...] = OBJECT_KEYS, lists: tuple[str, ...] = LIST_KEYS) -> DataFrame:

@@ -133,9 +133,8 @@ def classify(texts: pa.Array, spec: RecordSpec) -> pa.Table:
     n = len(texts)
     texts = pc.fill_null(texts.cast(pa.string()), "")
     one = pc.match_substring_regex(texts, RECORD)
-    several = pc.and_not(pc.match_substring_regex(texts, RECORDS), one)
-    sound = pc.fill_null(several, False)
-    reason: list[str | None] = [None if a else ("quoting" if b else "column_count") for a, b in zip(one.to_pylist(), sound.to_pylist(), strict=True)]
+    sound = pc.match_substring_regex(texts, RECORDS)  # several records in one are no quoting fault
+    reason: list[str | None] = [None if a else "column_count" if b else "quoting" for a, b in zip(one.to_pylist(), sound.to_pylist(), strict=True)]
     at = pa.array(range(n), pa.int64())
     parsed, rejected = _parse(at.filter(one), texts.filter(one), spec)
     for k in rejected:
