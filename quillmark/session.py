@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +34,30 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not on their path: sent once by the
+    driver's own file server, so nothing has to be installed on the executors."""
+    home = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    on_path = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(home.parent) in on_path or getattr(context, "_quillmark_shipped", False):
+        return
+    context._quillmark_shipped = True
+    folder = tempfile.mkdtemp(prefix="quillmark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*")):
+            if file.is_file() and "__pycache__" not in file.parts:
+                z.write(file, file.relative_to(home.parent))
+    target = Path(folder, "quillmark.zip")
+    target.write_bytes(buffer.getvalue())
+    context.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One landed table. Parquet carries its schema, so nothing is inferred from values."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +67,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     A single small file is one split and would run on one core. Inputs that already have two
     splits a core (any input of real size) are left alone, so no shuffle is added at scale.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
