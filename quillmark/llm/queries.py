@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import capping, encoding, languages, leakage, mojibake
+from quillmark.llm import capping, encoding, languages, leakage, mojibake, pii, variants
 from quillmark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.found(table(spark, d, "posts_combined"))
+
+
+def p1_people(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed person name that has other spellings, with its entity."""
+    return variants.entities(variants.pools(table(spark, d, "posts_combined"))["person"], "person")
+
+
+def p1_companies(spark: SparkSession, d: str) -> DataFrame:
+    return variants.entities(variants.pools(table(spark, d, "posts_combined"))["company"], "company")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "posts_combined"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Fields with personal information, before and after, with the spans replaced."""
+    return pii.detect(table(spark, d, "posts_combined"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.found(table(spark, d, "posts_combined"))
 
@@ -80,7 +102,7 @@ SQL = {
     "p8_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_signs, true AS same FROM documents",
 }
 QUERIES: tuple[Query, ...] = (
-    p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p8_ids, p8_round_trip, p9_found, p9_items,
+    p1_found, p1_people, p1_companies, p3_found, p3_redacted, p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p8_ids, p8_round_trip, p9_found, p9_items,
     p10_found, p10_documents, p10_segments,
 )
 
