@@ -23,6 +23,13 @@ FORMAL: dict[str, frozenset[str]] = {}
 for _name, _short in NICKNAMES.items():
     for _n in (_name, *_short.split()):
         FORMAL[_n] = FORMAL.get(_n, frozenset()) | {_name}
+#: Given names so usual that two of them are never slips of one another.
+USUAL = frozenset("""maria marta martha mario marie mara anna anne ana agnes amara andrea andreas andrew andre anneke alexander alexandra
+barbara bjorn carl carla karl karla charles chloe claire david daniel daniela denis dennis dimitri edward edgar erik eric fatima francois frederick gunther
+gregory hans helen helena elena henrik hugo ingrid ines james jan jane jean joan john johan johanna jonathan jose josef joseph juan julia julian juliana jurgen kenji
+kenneth lars laura leila lena lisa lucas lucia luca luis lukasz magnus margaret mark marc martin martina matthew matthias mei michael michaela nicholas nicole noemie norbert olga oskar
+patricia patrick paul paula pavel peter petra priya rafael rebecca richard robert roberta ronald samuel simon simone sofia soren stefan steven susan theodore thomas timothy tobias viktor viktoria
+victor victoria virginia william yusuf zoe""".split())
 #: What stands around a name without being part of it.
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame lord hon rev ing dipl".split())
 DEGREES = re.compile(r"(?i)(?<![\w.])(?:c\.?f\.?a|c\.?p\.?a|m\.?b\.?a|ph\.? ?d|j\.d|esq|m\.d|c\.?a|o\.?b\.?e|k\.?b\.?e|c\.?b\.?e|m\.?sc|b\.?sc|ll\.?[bm]|f\.?c\.?a)\.?(?![\w.])")
@@ -141,12 +148,12 @@ def same_given(a: str, b: str, common: frozenset[str] = frozenset()) -> int:
     fa, fb = FORMAL.get(a, frozenset({a})), FORMAL.get(b, frozenset({b}))
     if fa & fb:
         return 2
-    if a in common and b in common:
+    if a in common | USUAL and b in common | USUAL:
         return 0
     long, short = (a, b) if len(a) > len(b) else (b, a)
     if len(long) > len(short) and long.startswith(short) and long[len(short) :] in ("a", "e", "s", "o", "ne", "na", "ia"):
         return 0
-    both_odd = not {a, b} & (common | FORMAL.keys())  # two slips of one name differ by two edits
+    both_odd = not {a, b} & (common | FORMAL.keys() | USUAL)  # two slips of one name differ by two edits
     if min(len(a), len(b)) >= 3 and distance(a, b, 2) <= (2 if both_odd and min(len(a), len(b)) >= 5 else 1):
         return 1
     # A mistyped short form of the other's full name.

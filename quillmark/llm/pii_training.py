@@ -29,7 +29,8 @@ Helena Hugo Ingrid Inês James Jacqueline Jeffrey Jennifer Jessica Johan Johanna
 Kenji Kenneth Lawrence Leila Lucía Magnus Margaret Maria Mario Marta Martin Martina Matthew Mei Michael Nicholas Noémie Norbert Oskar
 Patricia Patrick Paul Paula Peter Priya Rafael Rebecca Richard Robert Ronald Samuel Simon Simone Steven Susan Søren Theodore
 Thomas Timothy Tobias Viktor Viktoria Virginia William Yusuf Zoë Łukasz Anna Laura Emma Lukas Jan Piotr Olga Ivan Sofia Pablo Diego Luca
-Giulia Pierre Marie Henrik Lars Sven Pieter Joost Ana João Tiago Rita Dave Mike Bob Kate Liz Tom Bill Steve Jim""".split()
+Giulia Pierre Marie Henrik Lars Sven Pieter Joost Ana João Tiago Rita Dave Mike Mick Bob Rob Kate Kathy Liz Betty Beth Tom Bill Will Steve Jim Jimmy Larry Matt Jeff Jackie Rick Dick Rich Freddie Fred
+Becky Chuck Charlie Tim Sam Patty Pat Ginny Tina Chris Jon Joey Joe Ron Dan Danny Maggie Meg Ed Eddie Ted Ken Nick Alex Tony Drew Andy Ben Sue Debbie Jenny Jess Greg Marty Toby Bobby""".split()
 ENDING = "ard by dahl dorf eau eski ez feld ford gaard holm ini land ley lund man mão mark mayer mez núñez olm quist sen ski stad ström ton vic well win berg eski itz ova elli ano".split()
 ONSET = "Kor Mar Bel Tal Ver Ros Dal Gal Hol Len Sor Per Wal Zel Nor Pol Ral Sal Tor Var Yar El Ol Ul Fal Jar Bran Drau Prae Krai Green Böe Grü Déa Søo Fen Mol Cor Lan Quel".split()
 MIDDLE = "a e i o u al el il ol ul am em im om um an en in on un ar er ir or ur av ev iv ov uv ag eg ig og ug ab eb ib ob ub at et it ot ut as es is os us ak ek ik ok uk ad ed id od".split()

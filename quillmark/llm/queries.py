@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import capping, encoding, languages, leakage, mojibake, pii, variants
+from quillmark.llm import capping, encoding, languages, leakage, linkage, mojibake, pii, variants
 from quillmark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,15 @@ def p6_share(spark: SparkSession, d: str) -> DataFrame:
     return capping.beyond(table(spark, d, "posts_combined"), "row_id", capping.contributor("profile_url"), F.col("reactions_total"), most=None, share=0.01)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.found(table(spark, d, "all_linkedin_urls"), table(spark, d, "all_people"))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed pairs with their confidence and agreement pattern."""
+    return linkage.match(table(spark, d, "all_linkedin_urls"), table(spark, d, "all_people"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
@@ -102,7 +111,7 @@ SQL = {
     "p8_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_signs, true AS same FROM documents",
 }
 QUERIES: tuple[Query, ...] = (
-    p1_found, p1_people, p1_companies, p3_found, p3_redacted, p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p8_ids, p8_round_trip, p9_found, p9_items,
+    p1_found, p1_people, p1_companies, p3_found, p3_redacted, p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p7_found, p7_matches, p8_ids, p8_round_trip, p9_found, p9_items,
     p10_found, p10_documents, p10_segments,
 )
 
