@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from quillmark.plans import training
+from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.plans import linking, quality, registry, relations, sentiment, training
 
-def queries() -> dict:
-    return dict(training.QUERIES)
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return sentiment.sentiment_by_company(spark, d)
+
+
+def queries() -> dict[str, registry.Query]:
+    assert linking and quality and relations  # imported for the queries they register
+    return dict(registry.QUERIES) | dict(training.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
