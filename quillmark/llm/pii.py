@@ -163,6 +163,7 @@ def window_starts(n: int) -> list[int]:
 
 
 #: A span of a type must at least look like this; decides nothing between types.
+NO_NAME = frozenset("a also and are as at but con das die die est et for from has have il in is it la le mit no not of on or our pas que the this to und was we with y you your".split())
 _AT = re.compile(r"@|\bat\b|\(at\)|\[at\]", re.I)
 
 
@@ -177,7 +178,7 @@ def plausible(kind: str, span: str) -> bool:
         return digits >= 5
     if kind == "address":
         return digits >= 1 and any(len(w) > 2 for w in words)
-    return len(words) >= 2 and any(len(w) > 2 for w in words) and not digits
+    return len(words) >= 2 and any(len(w) > 2 for w in words) and not digits and not NO_NAME & {w.casefold() for w in words}
 
 
 def spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:

@@ -17,7 +17,7 @@ import time
 
 import numpy as np
 
-from quillmark.llm.pii import N_SIGNS, N_TAGS, TYPES, WEIGHTS, encode
+from quillmark.llm.pii import N_SIGNS, N_TAGS, TYPES, WEIGHTS, encode, load_weights
 
 #: Bound of the sample of labelled rows.
 SAMPLE = 40_000
@@ -316,16 +316,18 @@ def _turn(job: tuple[dict, dict, dict, int, int, int, float]) -> tuple[dict, dic
     return w, m, v, float(np.mean(losses))
 
 
-def train(texts: list[str], minutes: float, processes: int = 8, steps: int = 12) -> dict[str, np.ndarray]:
+def train(texts: list[str], minutes: float, processes: int = 8, steps: int = 12, weights: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Rounds of parallel steps; ``weights`` continues an earlier training."""
     global _TEXTS
     _TEXTS = texts
-    w = start()
+    w = weights or start()
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     began, step, turn = time.time(), 0, 0
     with mp.get_context("fork").Pool(processes) as pool:
         while (gone := (time.time() - began) / (60 * minutes)) < 1:
             rate = 6e-3 * (min(1, (turn + 1) / 10) if gone < 0.5 else 2 * (1 - gone) + 0.02)
-            jobs = [(w, m, v, step, 1000 * turn + p, steps, rate) for p in range(processes)]
+            seed = 1000 * turn + (500_000_000 if weights else 0)
+            jobs = [(w, m, v, step, seed + p, steps, rate) for p in range(processes)]
             got = pool.map(_turn, jobs)
             w, m, v = ({k: np.mean([g[i][k] for g in got], 0).astype(np.float32) for k in w} for i in range(3))
             step, turn = step + steps, turn + 1
@@ -348,6 +350,7 @@ if __name__ == "__main__":
     args.add_argument("--texts", required=True)
     args.add_argument("--minutes", type=float, default=7)
     args.add_argument("--processes", type=int, default=8)
+    args.add_argument("--resume", action="store_true")
     a = args.parse_args()
-    weights = train(sample_texts(a.texts), a.minutes, a.processes)
+    weights = train(sample_texts(a.texts), a.minutes, a.processes, weights=load_weights() if a.resume else None)
     np.savez_compressed(WEIGHTS, **{k: x.astype(np.float16) for k, x in weights.items()})
