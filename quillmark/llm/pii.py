@@ -159,7 +159,9 @@ class Tagger:
 
 
 def window_starts(n: int) -> list[int]:
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, WINDOW - OVERLAP), n - WINDOW] if n else []
+    if n <= WINDOW:
+        return [0] if n else []
+    return [*range(0, n - WINDOW, WINDOW - OVERLAP), n - WINDOW]
 
 
 #: A span of a type must at least look like this; decides nothing between types.
