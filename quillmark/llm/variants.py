@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import names
@@ -22,6 +22,9 @@ from quillmark.session import cut, spread
 
 #: Least cosine of two cores; n-gram size; least average score within an entity.
 COSINE, GRAM, LINKAGE = 0.3, 3, 0.42
+#: Score of two values of one core that cannot be one entity (relatives, sister firms): a value that
+#: fits both, such as a bare initial, must not tie them together.
+AGAINST = -1.0
 #: A core spelled so in this many distinct values is taken as meant.
 MEANT = 4
 #: A word that opens so many names is a given name.
@@ -58,11 +61,11 @@ def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM
 def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
     """(node, cluster) of every node that joins another.
 
-    ``edges``: (a, b, score) with a < b, scores from 0 to 1; a pair without an edge scores 0.
+    ``edges``: (a, b, score) with a < b, scores up to 1, below 0 against; a pair without an edge scores 0.
     Merges while the average score between two clusters is at least ``least``. Equal averages: the
     smaller id wins. A cluster bears its smallest node's id. Every round is a few joins of the whole
     edge table; no component is ever gathered."""
-    now = cut(edges.where("score > 0").select("a", "b", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb"), F.col("score").alias("s")))
+    now = cut(edges.where("score <> 0").select("a", "b", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb"), F.col("score").alias("s")))
     names_, moved = None, None
     while True:
         live = now.withColumn("avg", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("avg") >= least)
@@ -141,11 +144,11 @@ def read_firms(values: DataFrame) -> DataFrame:
 
 def person_score(a: str, b: str, cosine: float, meant_a: int, meant_b: int, given: frozenset[str]) -> float:
     (ga, sa, xa), (gb, sb, xb) = (k.split("|") for k in (a, b))
-    if xa and xb and xa != xb:
-        return 0.0
     level = names.given_level(tuple(ga.split()), tuple(gb.split()), given)
     core = names.near(sa, sb)
-    if not level or not core or (core < 3 and names.LOST not in sa + sb and min(meant_a, meant_b) >= MEANT):
+    if core == 3 and (level == 0 or (xa and xb and xa != xb)):
+        return AGAINST
+    if not level or not core or (xa and xb and xa != xb) or (core < 3 and names.LOST not in sa + sb and min(meant_a, meant_b) >= MEANT):
         return 0.0
     if core < 3 and level == 1:
         core -= 0.5  # slips in both parts are rare
@@ -160,7 +163,7 @@ def firm_score(a: str, b: str, cosine: float, meant_a: int, meant_b: int, given:
     line = names.line_level(tuple(la.split()), tuple(lb.split()))
     legal = names.legal_level(fa, fb)
     if line == 0 or legal == 0:
-        return 0.0
+        return AGAINST if core == 3 else 0.0
     base = {3: 1.0, 2: 0.85, 1: 0.7}[core] * (0.9 + 0.1 * cosine)
     if line is None:  # the line of business left out: the legal form must speak for it
         base *= 0.85 if legal else 0.65
@@ -170,18 +173,36 @@ def firm_score(a: str, b: str, cosine: float, meant_a: int, meant_b: int, given:
 SCORES = {"person": person_score, "company": firm_score}
 
 
+def _seen_together(near: DataFrame, read: DataFrame, seen: DataFrame) -> DataFrame:
+    """Of the pairs of different cores those seen in one context, or of which a core has none."""
+    at = read.select("value", "core").join(seen, "value").select("core", "context").distinct()
+    a, b = (at.select(F.col("core").alias(f"core_{s}"), "context") for s in "ab")
+    known = at.select("core").distinct()
+    one = near.join(a, "core_a").join(b, ["core_b", "context"], "left_semi").select("core_a", "core_b", "cosine").distinct()
+    silent = near.join(known.select(F.col("core").alias("core_a")), "core_a", "left_anti").select("core_a", "core_b", "cosine")
+    silent = silent.unionByName(near.join(known.select(F.col("core").alias("core_b")), "core_b", "left_anti").select("core_a", "core_b", "cosine"))
+    return one.unionByName(silent).distinct()
+
+
 def entities(values: DataFrame, kind: str, least: float = LINKAGE) -> DataFrame:
     """(value, entity) of every distinct value in ``value`` that has another spelling.
 
+    Where ``values`` has a column ``context`` (what a value was seen with, such as a profile), a slip in
+    the core is only believed if both spellings share a context; cores without any are believed.
+
     ``kind``: person or company. Null, empty and blank values, and values without a surname and a
     given name, belong to no entity. Repeated values count once. Values of equal normal form (case,
     marks, order, titles, garbling) are one node of the clustering."""
     spark = values.sparkSession
-    pool = cut(spread(values.select("value").where("trim(value) <> ''").distinct()))
+    filled = values.where("trim(value) <> ''")
+    pool = cut(spread(filled.select("value").distinct()))
     given = _given_names(pool) if kind == "person" else frozenset()
     read = cut(read_people(pool, given) if kind == "person" else read_firms(pool))
     cores = read.groupBy("core").agg(F.countDistinct("value").alias("meant"))
     near = sparse_cosine_join(cores.select("core"))
+    if "context" in values.columns:
+        near = cut(_seen_together(cut(near), read, filled.where("context IS NOT NULL").select("value", "context").distinct()))
+        cores = cores.withColumn("meant", F.lit(0))  # what was seen together needs no other evidence
     linked = near.unionByName(cores.select(F.col("core").alias("core_a"), F.col("core").alias("core_b"), F.lit(1.0).alias("cosine")))
     nodes = read.select("node", "core", "blocks").distinct().join(cores, "core")
     if kind == "person":
@@ -205,9 +226,17 @@ def entities(values: DataFrame, kind: str, least: float = LINKAGE) -> DataFrame:
     return own.join(shared_by, "entity").select("value", "entity")
 
 
+def _with_context(df: DataFrame, value: str, *contexts: Column) -> DataFrame:
+    return df.select(F.col(value).alias("value"), F.explode(F.array(*contexts)).alias("context"))
+
+
 def pools(df: DataFrame) -> dict[str, DataFrame]:
-    people = df.select(F.col("person_name").alias("value")).unionByName(df.select(F.col("author_name").alias("value")))
-    return {"person": people, "company": df.select(F.col("company_name").alias("value"))}
+    """The typed names with what they were seen with: profile and firm, or profile and person."""
+    page = F.concat(F.lit("u|"), F.nullif(F.lower(F.regexp_replace(F.regexp_replace("profile_url", "(?s)[?#].*$", ""), "/+$", "")), F.lit("")))
+    firm = F.concat(F.lit("c|"), F.nullif(F.lower(F.regexp_extract("company_name", r"([\p{L}\p{N}]{3,})", 1)), F.lit("")))
+    who = F.concat(F.lit("p|"), F.nullif(F.lower(F.trim("person_name")), F.lit("")))
+    people = _with_context(df, "person_name", page, firm).unionByName(_with_context(df, "author_name", page, firm))
+    return {"person": people, "company": _with_context(df, "company_name", page, who)}
 
 
 def found(df: DataFrame) -> DataFrame:

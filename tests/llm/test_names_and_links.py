@@ -72,8 +72,8 @@ def test_average_linkage_equals_merging_one_by_one(spark):
 def test_variants_of_one_entity(spark):
     people = ["Helena Greeneski", "Greeneski, Helena", "Helena Greenesik", "H. Greeneski", "helena greeneski", "Helen Greeneski", "Bob Grüadewell", "Robert GrÃ¼adewell", None, "", " ", "Helena Greeneski"]
     firms = ["Balepquil Industries Ltd", "Balepquil Ind", "Balepqiul Industries Limited", "Balepquil Technologies PLC", None, ""]
-    rows = [(p, None, firms[k % len(firms)], "x", "y") for k, p in enumerate(people)]
-    df = spark.createDataFrame(rows, "person_name string, author_name string, company_name string, entity string, core string")
+    rows = [(p, None, firms[k % len(firms)], "x", "y", "https://e/in/one") for k, p in enumerate(people)]
+    df = spark.createDataFrame(rows, "person_name string, author_name string, company_name string, entity string, core string, profile_url string")
     got = {tuple(r) for r in variants.found(df).collect()}
     assert ("person", "Bob Grüadewell", "Robert GrÃ¼adewell") in got and ("person", "Greeneski, Helena", "Helena Greeneski") in got
     assert not any("Helen Greeneski" in r for r in got if r[1] != "H. Greeneski" and r[2] != "H. Greeneski")
@@ -81,6 +81,15 @@ def test_variants_of_one_entity(spark):
     assert variants.found(df.limit(0)).count() == 0
 
 
+def test_slips_need_a_shared_context(spark):
+    rows = [("Robert Tororesholm", "u1"), ("Robert Torosesholm", "u2"), ("Agnes Balikumlund", "u3"), ("Agnes Balikumlubd", "u3"), ("Agnes Balikumlbund", None)]
+    values = spark.createDataFrame(rows, "value string, context string")
+    got = {}
+    for r in variants.entities(values, "person").collect():
+        got.setdefault(r["entity"], set()).add(r["value"])
+    assert list(got.values()) == [{"Agnes Balikumlund", "Agnes Balikumlubd", "Agnes Balikumlbund"}]
+
+
 HITS = "hit_id long, person_name string, company_name string, linkedin_title string, confidence string"
 
 
