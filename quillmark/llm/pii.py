@@ -165,7 +165,7 @@ def window_starts(n: int) -> list[int]:
 
 
 #: A span of a type must at least look like this; decides nothing between types.
-NO_NAME = frozenset("a also and are as at but con das die die est et for from has have il in is it la le mit no not of on or our pas que the this to und was we with y you your".split())
+NO_NAME = frozenset("also and are as at but con das die die est et for from has have il in is it la le mit no not of on or our pas que the this to und was we with you your".split())
 _AT = re.compile(r"@|\bat\b|\(at\)|\[at\]", re.I)
 
 

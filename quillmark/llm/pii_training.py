@@ -325,7 +325,7 @@ def train(texts: list[str], minutes: float, processes: int = 8, steps: int = 12,
     began, step, turn = time.time(), 0, 0
     with mp.get_context("fork").Pool(processes) as pool:
         while (gone := (time.time() - began) / (60 * minutes)) < 1:
-            rate = 6e-3 * (min(1, (turn + 1) / 10) if gone < 0.5 else 2 * (1 - gone) + 0.02)
+            rate = (3e-3 if weights else 6e-3) * (min(1, (turn + 1) / 10) if gone < 0.5 else 2 * (1 - gone) + 0.02)
             seed = 1000 * turn + (500_000_000 if weights else 0)
             jobs = [(w, m, v, step, seed + p, steps, rate) for p in range(processes)]
             got = pool.map(_turn, jobs)
