@@ -131,7 +131,8 @@ def _parse(keys: pa.Array, texts: pa.Array, spec: RecordSpec) -> tuple[pa.Table,
 def classify(texts: pa.Array, spec: RecordSpec) -> pa.Table:
     """One row per text, in order: ``reason`` (null if it loads), ``failing`` cells, then the columns."""
     n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.string()), "")
+    # The line break that ends a record is no part of it.
+    texts = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), r"(?:\r\n|\r|\n)$", "")
     one = pc.match_substring_regex(texts, RECORD)
     sound = pc.match_substring_regex(texts, RECORDS)  # several records in one are no quoting fault
     reason: list[str | None] = [None if a else "column_count" if b else "quoting" for a, b in zip(one.to_pylist(), sound.to_pylist(), strict=True)]
