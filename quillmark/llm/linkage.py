@@ -197,7 +197,7 @@ def match(hits: DataFrame, people: DataFrame) -> DataFrame:
     hit_columns, person_columns = ("person_name", "company_name", "linkedin_title"), ("person_name", "company_name")
     from quillmark.llm.variants import _given_names
 
-    pool = people.select(F.col("person_name").alias("value")).unionByName(hits.select(F.col("person_name").alias("value"))).where("trim(value) <> ''").distinct()
+    pool = people.select(F.col("person_name").alias("value")).unionByName(hits.select(F.col("person_name").alias("value"))).where("trim(value) <> ''").groupBy("value").agg(F.count("*").alias("n"))
     common = _given_names(spread(pool))
     left = _profiles(spread(hits.where("trim(linkedin_title) <> ''")), hit_columns, hit_profile, "h", common)
     right = _profiles(spread(people), person_columns, person_profile, "p", common)

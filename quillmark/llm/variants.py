@@ -27,8 +27,8 @@ COSINE, GRAM, LINKAGE = 0.3, 3, 0.42
 AGAINST = -1.0
 #: A core spelled so in this many distinct values is taken as meant.
 MEANT = 4
-#: A word that opens so many names is a given name.
-GIVEN_SUPPORT = 4
+#: A word that opens the names of so many surnames is a given name, unless a name one edit away is so many times as common.
+GIVEN_SUPPORT, COMMONER = 4, 20
 
 
 def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM) -> DataFrame:
@@ -95,7 +95,11 @@ def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
 
 
 def _given_names(values: DataFrame) -> frozenset[str]:
-    """Words that open the names of many surnames; bounded by the given names in use."""
+    """Words that open the names of several surnames, and of no fewer than they end; bounded by the given names in use.
+
+    ``values``: (value, n), n being the rows of a value. In a large input slips and reversed surnames open
+    several names too. A slip is told by its true name, one edit away and far commoner, whether in surnames
+    or, where these are used up, in rows. Listed names are no slips."""
     @F.pandas_udf("first string, last string")
     def ends(v: pd.Series) -> pd.DataFrame:
         rows = []
@@ -104,8 +108,22 @@ def _given_names(values: DataFrame) -> frozenset[str]:
             rows.append((p.given[0], p.surname) if p and p.given and len(p.given[0]) > 1 else (None, None))
         return pd.DataFrame(rows, columns=["first", "last"])
 
-    found = values.select(ends("value").alias("e")).select("e.*").where("first IS NOT NULL").groupBy("first").agg(F.countDistinct("last").alias("n"))
-    return frozenset(r["first"] for r in found.where(F.col("n") >= GIVEN_SUPPORT).select("first").collect())
+    @F.pandas_udf("boolean")
+    def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([names.distance(x, y, 1) <= 1 for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    read = values.select(ends("value").alias("e"), "n").select("e.*", "n").where("first IS NOT NULL")
+    sides = F.array(F.struct(F.col("first").alias("word"), F.col("last").alias("after"), F.lit(None).cast("string").alias("before"), "n"), F.struct(F.col("last").alias("word"), F.lit(None).cast("string").alias("after"), F.col("first").alias("before"), F.lit(0).cast("long").alias("n")))
+    words = read.select(F.explode(sides).alias("s")).select("s.*").groupBy("word").agg(F.countDistinct("after").alias("opens"), F.countDistinct("before").alias("ends"), F.sum("n").alias("n"))
+    words = cut(words.where((F.col("opens") >= GIVEN_SUPPORT) & (F.col("opens") >= F.col("ends"))).select("word", "opens", "n"))
+    # Words within one edit share themselves with one sign left out, or one of them so.
+    keys = F.array_union(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substring("word", F.lit(1), k - 1), F.substring("word", k + 1, F.length("word")))))
+    keyed = words.withColumn("key", F.explode(keys))
+    true = keyed.select(F.col("word").alias("true"), F.col("opens").alias("true_opens"), F.col("n").alias("true_n"), "key")
+    beside = keyed.join(true, "key").where((F.col("true_opens") >= COMMONER * F.col("opens")) | ((F.col("true_n") >= COMMONER * F.col("n")) & (F.col("true_opens") >= F.col("opens"))))
+    slips = beside.select("word", "true").distinct().where(one_edit("word", "true")).select("word").distinct()
+    slips = slips.where(~F.col("word").isin(*sorted(names.USUAL | names.FORMAL.keys())))
+    return frozenset(r["word"] for r in words.where(~F.contains("word", F.lit(names.LOST))).join(slips, "word", "left_anti").select("word").collect())
 
 
 def read_people(values: DataFrame, given: frozenset[str]) -> DataFrame:
@@ -195,8 +213,9 @@ def entities(values: DataFrame, kind: str, least: float = LINKAGE) -> DataFrame:
     marks, order, titles, garbling) are one node of the clustering."""
     spark = values.sparkSession
     filled = values.where("trim(value) <> ''")
-    pool = cut(spread(filled.select("value").distinct()))
-    given = _given_names(pool) if kind == "person" else frozenset()
+    rows = cut(spread(filled.groupBy("value").agg(F.count("*").alias("n"))))
+    given = _given_names(rows) if kind == "person" else frozenset()
+    pool = rows.select("value")
     read = cut(read_people(pool, given) if kind == "person" else read_firms(pool))
     cores = read.groupBy("core").agg(F.countDistinct("value").alias("meant"))
     near = sparse_cosine_join(cores.select("core"))

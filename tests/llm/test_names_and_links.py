@@ -90,6 +90,24 @@ def test_slips_need_a_shared_context(spark):
     assert list(got.values()) == [{"Agnes Balikumlund", "Agnes Balikumlubd", "Agnes Balikumlbund"}]
 
 
+def test_a_slip_under_many_surnames_is_no_given_name(spark):
+    surnames = [f"{a}{b}{c}sholm" for a in ("bal", "dor", "kel") for b in ("an", "er", "il", "om", "ut") for c in ("da", "fi", "go", "li", "mu", "ne")]
+    slips = [f"Petr {s.title()}" for s in surnames[:4]] + [f"Wolfgnag {s.title()}" for s in surnames[4:8]]
+    values = [f"{g} {s.title()}" for g in ("Peter", "Wolfgang") for s in surnames] + slips
+    values += [f"Adele {s.title()}" for s in surnames[:30]] + [f"Adela {s.title()}" for s in surnames[30:36]]  # both names
+    values += [f"{surnames[0].title()} {g}" for g in ("Quirin", "Rolf", "Svante", "Ulf")] + [f"{g} {surnames[0].title()}" for g in ("Quirin", "Rolf", "Svante", "Ulf", "Ida")]
+    counted = spark.createDataFrame([(v, 1) for v in values], "value string, n long")
+    common = variants._given_names(counted)
+    assert common == {"peter", "wolfgang", "adele", "adela"}
+    # Every surname is taken, so only the rows tell.
+    full = [(f"{g} {s.title()}", n) for g, n in (("Wolfgang", 50), ("Wolfgnag", 1)) for s in surnames]
+    assert variants._given_names(spark.createDataFrame(full, "value string, n long")) == {"wolfgang"}
+    assert variants.person_score("wolfgnag|balandasholm|", "wolfgang|balandasholm|", 1.0, 1, 1, common) >= variants.LINKAGE
+    assert variants.person_score("adele|balandasholm|", "adela|balandasholm|", 1.0, 1, 1, common) == variants.AGAINST
+    hit = linkage.hit_profile("Petr Balandasholm", "Balalvia Foods Co", "Peter Balandasholm | LinkedIn", common)
+    assert hit is not None and linkage.compare(hit, linkage.person_profile("Peter Balandasholm", "Balalvia Foods Co", common), common)[0] == "3"
+
+
 HITS = "hit_id long, person_name string, company_name string, linkedin_title string, confidence string"
 
 
