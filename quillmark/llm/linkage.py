@@ -12,6 +12,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -89,8 +90,16 @@ def person_profile(person: str | None, company: str | None, common: frozenset[st
     return {"g": [p.given[0]], "m": p.given[1][0] if len(p.given) > 1 else "", "s": [p.surname], "f": [f.key]}
 
 
+@lru_cache(maxsize=100_000)
+def shortened(word: str) -> frozenset[str]:
+    """The word with none, one or two signs left out; words of ``near`` share one, unless lost signs add to its edits."""
+    once = {word[:k] + word[k + 1 :] for k in range(len(word))}
+    return frozenset({word} | once | {w[:k] + w[k + 1 :] for w in once for k in range(len(w))})
+
+
 def block_keys(profile: dict) -> list[str]:
-    """Keys of the passes: surname; firm with the surname's beginning or end; letters of the surname."""
+    """Keys of the passes: surname; firm with the surname's beginning or end, or with the surname less up to two
+    letters; letters of the surname."""
     letters = {x[0] for g in profile["g"] for x in (g, *names.FORMAL.get(g, ()))}
     cores = {f.split("|")[0] for f in profile["f"]}
     keys = set()
@@ -99,6 +108,7 @@ def block_keys(profile: dict) -> list[str]:
         keys |= {f"l|{''.join(sorted(set(s)))}|{a}" for a in letters}
         for c in cores:
             keys |= {f"b|{c}|{s[:3]}", f"e|{c}|{s[-5:]}", f"k|{c[:3]}|{s}"}
+            keys |= {f"d|{c}|{w}" for w in shortened(s)} if len(s) >= 4 else set()
         keys |= {f"o|{s[:4]}|{s[-4:]}|{a}" for a in letters}
     return sorted(keys)
 

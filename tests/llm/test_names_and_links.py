@@ -126,6 +126,25 @@ def test_linkage_cases(spark):
     assert linkage.found(h.limit(0), p).count() == 0 and linkage.found(h, p.limit(0)).count() == 0
 
 
+def test_every_near_surname_of_a_firm_is_proposed():
+    import random
+
+    def keys(surname):
+        return set(linkage.block_keys({"g": ["anna"], "m": "", "s": [surname], "f": ["balalvia|foods|co"]}))
+
+    assert keys("smith") & keys("smyth") and keys("balik") & keys("blik") and keys("koritz") & keys("koirtz")
+    dice, n = random.Random(7), 0
+    for _ in range(4000):
+        a = b = "".join(dice.choices("abcdefgh", k=dice.randint(4, 12)))
+        for _ in range(dice.randint(1, 2)):
+            k = dice.randrange(len(b) - 1)
+            b = dice.choice((b[:k] + b[k + 1 :], b[:k] + dice.choice("abcdefgh\ufffd") + b[k + 1 :], b[:k] + dice.choice("xyz") + b[k:], b[:k] + b[k + 1] + b[k] + b[k + 2 :]))
+        if names.near(a, b):
+            n += 1
+            assert keys(a) & keys(b), (a, b)
+    assert n > 1000
+
+
 def test_learning_tells_matches_from_the_rest():
     post = linkage.learn({"3-3311": 900, "3-3000": 60, "0-3311": 80, "0-3000": 4000, "2-3311": 50})
     assert post["3-3311"] > 0.9 and post["0-3000"] < 0.1 and linkage.contradicts("0-3311") and linkage.learn({}) == {}
