@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
+
 
 def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
     """CSV with a header in every part, quotes doubled; ``append`` adds parts."""
@@ -61,19 +67,31 @@ def write_report(df: DataFrame, path: str, text: bool = False) -> None:
             json.dump(rows, out, ensure_ascii=False, default=str, indent=1)
 
 
+def _pieces(df: DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """All rows in pieces of ``size``; one empty piece of an empty table."""
+    rows = df.toLocalIterator()
+    piece = list(islice(rows, size))
+    while True:
+        yield pd.DataFrame(piece, columns=df.columns, dtype=object)
+        if not (piece := list(islice(rows, size))):
+            return
+
+
 def write_sheets(frames: dict[str, DataFrame], path: str) -> None:
-    """Small tables as sheets of one workbook, where openpyxl is installed; else one CSV file each."""
-    tables = {name: df.limit(100_000).toPandas() for name, df in frames.items()}  # a workbook's own bound
+    """Tables as sheets of one workbook, where openpyxl is installed; else one CSV file each. Rows beyond a
+    sheet's bound go to further sheets (``name_2`` and so on)."""
     try:
         import openpyxl  # noqa: F401
-        import pandas as pd
     except ImportError:
-        for name, pdf in tables.items():
-            pdf.to_csv(f"{path}.{name}.csv", index=False)
+        for name, df in frames.items():
+            for k, pdf in enumerate(_pieces(df, 100_000)):
+                pdf.to_csv(f"{path}.{name}.csv", index=False, header=k == 0, mode="a" if k else "w")
         return
     with pd.ExcelWriter(path, engine="openpyxl") as book:
-        for name, pdf in tables.items():
-            pdf.to_excel(book, sheet_name=name[:31], index=False)
+        for name, df in frames.items():
+            for k, pdf in enumerate(_pieces(df, SHEET_ROWS), 1):
+                more = f"_{k}" if k > 1 else ""
+                pdf.to_excel(book, sheet_name=name[: 31 - len(more)] + more, index=False)
 
 
 def ranked(df: DataFrame, by: str, order: str) -> DataFrame:

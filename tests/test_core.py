@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,11 @@ def test_stream_resumes_without_rereading(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/bronze").count() == 2
     done = ingest.progress(spark, f"{tmp_path}/ledger").first()
     assert (done["batches"], done["total"], done["found"]) == (2, 2, 1)
+
+
+def test_sheets_hold_every_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(sys.modules, "openpyxl", None)
+    writers.write_sheets({"all": spark.range(100_001), "none": spark.range(0)}, f"{tmp_path}/book")
+    assert sorted(int(x) for x in (tmp_path / "book.all.csv").read_text().split()[1:]) == list(range(100_001))
+    assert (tmp_path / "book.none.csv").read_text().split() == ["id"]
+    assert [len(x) for x in writers._pieces(spark.range(5), 2)] == [2, 2, 1]
