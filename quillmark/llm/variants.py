@@ -22,6 +22,8 @@ from quillmark.session import cut, spread
 
 #: Least cosine of two cores; n-gram size; least average score within an entity.
 COSINE, GRAM, LINKAGE = 0.3, 3, 0.42
+#: Most letters that cores may differ in length by; ``names.near`` takes two edits at most, so nothing it takes is lost.
+GAP = 3
 #: Score of two values of one core that cannot be one entity (relatives, sister firms): a value that
 #: fits both, such as a bare initial, must not tie them together.
 AGAINST = -1.0
@@ -31,11 +33,12 @@ MEANT = 4
 GIVEN_SUPPORT, COMMONER = 4, 20
 
 
-def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM) -> DataFrame:
+def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM, gap: int | None = None) -> DataFrame:
     """(core_a, core_b, cosine) of all pairs of distinct strings in ``core`` with cosine >= ``least``, a < b.
 
     Vectors: letter n-grams of the padded string, weighted by frequency and the root of the inverse
-    document frequency (the n-grams of a slip are rare, and must not drown the others). Exact: no neighbour is dropped. Null and empty cores have no neighbours.
+    document frequency (the n-grams of a slip are rare, and must not drown the others). Exact: no neighbour is dropped, save those whose
+    lengths differ by more than ``gap``, if given. Null and empty cores have no neighbours.
     """
     cores = cores.where("core IS NOT NULL AND core <> ''").distinct()
     padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
@@ -51,7 +54,10 @@ def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM
     vectors = cut(vectors.withColumn("rest", rest).select("core", "gram", "w", "rest", F.length("core").alias("size")))
     index = vectors.where(F.col("rest") >= least * least).select("core", "gram", "size")
     left, right = (index.select(F.col("core").alias(f"core_{s}"), "gram", F.col("size").alias(f"size_{s}")) for s in "ab")
-    pairs = left.join(right, "gram").where((F.col("core_a") < F.col("core_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 3)).select("core_a", "core_b").distinct()
+    pairs = left.join(right, "gram").where(F.col("core_a") < F.col("core_b"))
+    if gap is not None:
+        pairs = pairs.where(F.abs(F.col("size_a") - F.col("size_b")) <= gap)
+    pairs = pairs.select("core_a", "core_b").distinct()
     whole = vectors.groupBy("core").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     held = pairs.join(whole.select(F.col("core").alias("core_a"), F.col("v").alias("va")), "core_a").join(whole.select(F.col("core").alias("core_b"), F.col("v").alias("vb")), "core_b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
@@ -218,7 +224,7 @@ def entities(values: DataFrame, kind: str, least: float = LINKAGE) -> DataFrame:
     pool = rows.select("value")
     read = cut(read_people(pool, given) if kind == "person" else read_firms(pool))
     cores = read.groupBy("core").agg(F.countDistinct("value").alias("meant"))
-    near = sparse_cosine_join(cores.select("core"))
+    near = sparse_cosine_join(cores.select("core"), gap=GAP)
     if "context" in values.columns:
         near = cut(_seen_together(cut(near), read, filled.where("context IS NOT NULL").select("value", "context").distinct()))
         cores = cores.withColumn("meant", F.lit(0))  # what was seen together needs no other evidence

@@ -50,6 +50,15 @@ def test_sparse_join_finds_every_pair(spark):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_sparse_join_is_exact_whatever_the_lengths(spark):
+    pool = ["smith", "smithsonian", "keladin", "keladinskiova"]
+    df = spark.createDataFrame([(c,) for c in pool], "core string")
+    got = {(r["core_a"], r["core_b"]): r["cosine"] for r in variants.sparse_cosine_join(df, 0.3).collect()}
+    want = {p: c for p in combinations(pool, 2) if (c := cosine(*p, pool)) >= 0.3}
+    assert got.keys() == want.keys() == {("smith", "smithsonian"), ("keladin", "keladinskiova")} and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert variants.sparse_cosine_join(df, 0.3, gap=3).count() == 0
+
+
 def naive_linkage(edges: dict, least: float) -> set[frozenset]:
     clusters = {frozenset([n]) for p in edges for n in p}
     s = lambda a, b: sum(edges.get((min(x, y), max(x, y)), 0) for x in a for y in b) / (len(a) * len(b))
