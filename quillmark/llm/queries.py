@@ -19,11 +19,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_people(spark: SparkSession, d: str) -> DataFrame:
     """Every typed person name that has other spellings, with its entity."""
-    return variants.entities(variants.pools(table(spark, d, "posts_combined"))["person"], "person")
+    return variants.entities(variants.mentions(table(spark, d, "posts_combined"), ("person",))).drop("kind")
 
 
 def p1_companies(spark: SparkSession, d: str) -> DataFrame:
-    return variants.entities(variants.pools(table(spark, d, "posts_combined"))["company"], "company")
+    return variants.entities(variants.mentions(table(spark, d, "posts_combined"), ("company",))).drop("kind")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,10 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return linkage.match(table(spark, d, "all_linkedin_urls"), table(spark, d, "all_people"))
 
 
+def p7_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.calibration(table(spark, d, "all_linkedin_urls"), table(spark, d, "all_people"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
@@ -111,7 +115,7 @@ SQL = {
     "p8_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_signs, true AS same FROM documents",
 }
 QUERIES: tuple[Query, ...] = (
-    p1_found, p1_people, p1_companies, p3_found, p3_redacted, p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p7_found, p7_matches, p8_ids, p8_round_trip, p9_found, p9_items,
+    p1_found, p1_people, p1_companies, p3_found, p3_redacted, p5_found, p5_repaired, p6_found, p6_ranks, p6_share, p7_found, p7_matches, p7_calibration, p8_ids, p8_round_trip, p9_found, p9_items,
     p10_found, p10_documents, p10_segments,
 )
 

@@ -1,18 +1,23 @@
 """Variant spellings of typed names, linked per entity.
 
-Distinct values are read into parts; the part that carries the identity (surname, a firm's own
-word) becomes a weighted vector of letter n-grams. A sparse cosine join links like cores: rare
-n-grams first, and only so many that two cores with the wanted cosine must share one, so common
-n-grams never meet and nothing is cut off. Values of linked cores are scored in full, and
-average-linkage clustering joins them: in rounds over the whole graph, clusters that are each
-other's nearest merge at once, which gives the same result as one merge after another.
+Every distinct value becomes one weighted vector, whatever the order its parts were typed in: letter
+n-grams of the part that carries the identity (surname, a firm's own word), what its given name or
+line of business may stand for, and what the value was seen with (profile, firm). A rare word of a
+name takes on the feature of the far commoner word nearest to it by n-gram cosine (a top-1 join of
+words), so slips and abbreviations meet the word that was meant; lists of short forms and of usual
+given names only add features. A sparse join gives all pairs of vectors whose cosine reaches a
+bound: rare features first, and only so many that two vectors with that cosine must share one, so
+common features never meet and nothing is cut off. The cosines alone are the scores of
+average-linkage clustering: in rounds over the whole graph, clusters that are each other's nearest
+merge at once, which gives the same result as one merge after another.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,256 +25,287 @@ from pyspark.sql import functions as F
 from quillmark.llm import names
 from quillmark.session import cut, spread
 
-#: Least cosine of two cores; n-gram size; least average score within an entity.
-COSINE, GRAM, LINKAGE = 0.3, 3, 0.42
-#: Most letters that cores may differ in length by; ``names.near`` takes two edits at most, so nothing it takes is lost.
-GAP = 3
-#: Score of two values of one core that cannot be one entity (relatives, sister firms): a value that
-#: fits both, such as a bare initial, must not tie them together.
-AGAINST = -1.0
-#: A core spelled so in this many distinct values is taken as meant.
-MEANT = 4
-#: A word that opens the names of so many surnames is a given name, unless a name one edit away is so many times as common.
-GIVEN_SUPPORT, COMMONER = 4, 20
-
-
-def sparse_cosine_join(cores: DataFrame, least: float = COSINE, size: int = GRAM, gap: int | None = None) -> DataFrame:
-    """(core_a, core_b, cosine) of all pairs of distinct strings in ``core`` with cosine >= ``least``, a < b.
-
-    Vectors: letter n-grams of the padded string, weighted by frequency and the root of the inverse
-    document frequency (the n-grams of a slip are rare, and must not drown the others). Exact: no neighbour is dropped, save those whose
-    lengths differ by more than ``gap``, if given. Null and empty cores have no neighbours.
-    """
-    cores = cores.where("core IS NOT NULL AND core <> ''").distinct()
-    padded = F.concat(F.lit("^"), F.col("core"), F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (size - 1), F.lit(1))), lambda k: F.substring(padded, k, F.lit(size)))
-    cells = cores.select("core", F.explode(grams).alias("gram")).groupBy("core", "gram").agg(F.count("*").alias("tf"))
-    n = cores.count()
-    seen = cells.groupBy("gram").agg(F.count("*").alias("df"))
-    weighted = cells.join(seen, "gram").withColumn("w", F.col("tf") * F.sqrt(F.log(F.lit(n + 1.0) / F.col("df")) + 0.1))
-    by_core = Window.partitionBy("core")
-    vectors = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_core)))
-    # Squared weight of this and all commoner n-grams: while it reaches the bound, the n-gram may be the rarest shared.
-    rest = F.sum(F.col("w") * F.col("w")).over(by_core.orderBy(F.col("df").desc(), F.col("gram").desc()))
-    vectors = cut(vectors.withColumn("rest", rest).select("core", "gram", "w", "rest", F.length("core").alias("size")))
-    index = vectors.where(F.col("rest") >= least * least).select("core", "gram", "size")
-    left, right = (index.select(F.col("core").alias(f"core_{s}"), "gram", F.col("size").alias(f"size_{s}")) for s in "ab")
-    pairs = left.join(right, "gram").where(F.col("core_a") < F.col("core_b"))
-    if gap is not None:
-        pairs = pairs.where(F.abs(F.col("size_a") - F.col("size_b")) <= gap)
-    pairs = pairs.select("core_a", "core_b").distinct()
-    whole = vectors.groupBy("core").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
-    held = pairs.join(whole.select(F.col("core").alias("core_a"), F.col("v").alias("va")), "core_a").join(whole.select(F.col("core").alias("core_b"), F.col("v").alias("vb")), "core_b")
+#: Least cosine of two vectors that are compared at all.
+COSINE = 0.5
+#: Least average cosine within an entity.
+LINKAGE = {"person": 0.6, "company": 0.6}
+#: Squared length that each block of features has in a vector with all blocks.
+ENERGY = {"surname": 0.45, "given": 0.32, "middle": 0.05, "generation": 0.05, "core": 0.55, "line": 0.15, "legal": 0.05}
+SEEN_WITH = {"person": 0.23, "company": 0.25}
+#: A word counts as a slip or short form of one so many times as common, from this cosine.
+COMMONER, SHORTENS, WORD_COSINE = 8, 2, {"person": 0.44, "company": 0.3}
+#: A word that opens the names of so many surnames is a given name.
+GIVEN_SUPPORT = 4
+#: Most merges of a round that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def cosine_join(vectors: DataFrame, least: float, top: int | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs with cosine >= ``least``, a < b, of unit vectors (id, feature, w), w > 0.
+
+    Exact: every pair is found, whatever the lengths or counts. ``top`` keeps, for each id, its that many
+    nearest (both directions as rows (a, b) then; equal cosines: the smaller b)."""
+    seen = vectors.groupBy("feature").agg(F.count("*").alias("df"))
+    by_id = Window.partitionBy("id")
+    # Squared weight of this and all commoner features: while it reaches the bound, the feature may be the rarest shared.
+    rest = F.sum(F.col("w") * F.col("w")).over(by_id.orderBy(F.col("df").desc(), F.col("feature").desc()))
+    held = cut(vectors.join(seen, "feature").withColumn("rest", rest))
+    index = held.where(F.col("rest") >= least * least - 1e-9).select("id", "feature")
+    left, right = (index.select(F.col("id").alias(s), "feature") for s in "ab")
+    pairs = left.join(right, "feature").where("a < b").select("a", "b").distinct()
+    whole = held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "w"))).alias("v"))
+    both = pairs.join(whole.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("vb", e["key"]), F.lit(0.0)))
-    return held.select("core_a", "core_b", dot.alias("cosine")).where(F.col("cosine") >= least)
+    near = both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+    if top is None:
+        return near
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    return ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("k") <= top).drop("k")
+
+
+def unit_vectors(cells: DataFrame, n: int) -> DataFrame:
+    """(id, feature, w) of cells (id, block, feature, w, energy), one row per id and feature.
+
+    Within a block: given weight times the root of the inverse document frequency among ``n`` vectors (the
+    features of a slip are rare, and must not drown the others). A block has its energy as squared
+    length, and the blocks a vector has share the length of 1."""
+    seen = cells.groupBy("feature").agg(F.count("*").alias("df"))
+    idf = F.sqrt(F.ln(F.lit(n + 1.0) / F.col("df")) + 0.1)
+    weighed = cells.join(seen, "feature").withColumn("w", F.col("w") * F.when(F.col("block").isin("given", "line", "middle", "legal", "generation"), 1.0).otherwise(idf))
+    by_block = Window.partitionBy("id", "block")
+    weighed = weighed.withColumn("w", F.col("w") * F.sqrt(F.col("energy") / F.sum(F.col("w") * F.col("w")).over(by_block)))
+    return weighed.select("id", "feature", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("w"))
+
+
+def grams(text: str, sizes: tuple[int, ...] = (2, 3)) -> dict[str, float]:
+    padded = f"^{text}$"
+    out: dict[str, float] = defaultdict(float)
+    for size in sizes:
+        for k in range(len(padded) - size + 1):
+            out[padded[k : k + size]] += 1.0
+    return dict(out)
+
+
+def skips(text: str) -> dict[str, float]:
+    """Ordered pairs of the first letter and the consonants, the nearer the heavier: what an abbreviation keeps."""
+    kept = text[0] + "".join(c for c in text[1:] if c not in "aeiou")
+    out: dict[str, float] = defaultdict(float)
+    out[f"^{text[0]}"] = 1.0
+    for i in range(len(kept)):
+        for j in range(i + 1, len(kept)):
+            out[kept[i] + kept[j]] += 0.8 ** (j - i - 1)
+    return dict(out)
+
+
+def sparse_cosine_join(cores: DataFrame, least: float = COSINE) -> DataFrame:
+    """(a, b, cosine) of all pairs of distinct strings in ``core`` by letter n-grams, weighted by frequency and the
+    root of the inverse document frequency. Null and empty strings have no neighbours."""
+    distinct = cut(cores.where("core IS NOT NULL AND core <> ''").select("core").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(s, "core", g, w, 1.0) for s in batch.column(0).to_pylist() for g, w in grams(s).items()]
+            yield _cells(rows)
+
+    return cosine_join(unit_vectors(distinct.mapInArrow(run, CELLS), distinct.count()), least)
+
+
+CELLS = "id string, block string, feature string, w double, energy double"
 
 
-def average_linkage(edges: DataFrame, least: float = LINKAGE) -> DataFrame:
+def _cells(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "block", "feature", "w", "energy"])
+
+
+def average_linkage(edges: DataFrame, least: float | Column = LINKAGE["person"]) -> DataFrame:
     """(node, cluster) of every node that joins another.
 
-    ``edges``: (a, b, score) with a < b, scores up to 1, below 0 against; a pair without an edge scores 0.
-    Merges while the average score between two clusters is at least ``least``. Equal averages: the
-    smaller id wins. A cluster bears its smallest node's id. Every round is a few joins of the whole
-    edge table; no component is ever gathered."""
-    now = cut(edges.where("score <> 0").select("a", "b", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb"), F.col("score").alias("s")))
-    names_, moved = None, None
+    ``edges``: (a, b, score) with a < b, scores above 0, up to 1; a pair without an edge scores 0.
+    Merges while the average score between two clusters is at least ``least`` (a number, or a column of
+    ``a``). Equal averages: the smaller id wins. A cluster bears its smallest node's id. A round is a few
+    joins of the whole edge table; no component is ever gathered. Every round merges at least the nearest
+    pair of each live component, so the rounds end; they are about as many as a dendrogram is high."""
+    spark = edges.sparkSession
+    bound = F.lit(least) if isinstance(least, float) else least
+    now = cut(edges.where("score > 0").select("a", "b", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb"), F.col("score").alias("s")))
+    steps: list[DataFrame] = []
     while True:
-        live = now.withColumn("avg", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("avg") >= least)
-        both = live.select("a", "b", "avg", "na", "nb").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "avg", F.col("nb").alias("na"), F.col("na").alias("nb")))
+        live = now.withColumn("avg", F.col("s") / (F.col("na") * F.col("nb"))).where(F.col("avg") >= bound)
         # One global order of pairs breaks ties, so the nearest of all is always mutual.
-        lo, hi = F.least("a", "b"), F.greatest("a", "b")
-        best = both.groupBy("a").agg(F.min(F.struct((-F.col("avg")).alias("d"), lo.alias("lo"), hi.alias("hi"), "b", "na", "nb")).alias("m")).select("a", "m.*")
-        merges = best.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.first(F.col("na") + F.col("nb")).alias("size")).where("n = 2")
+        ways = live.select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("n"), F.struct((-F.col("avg")).alias("d"), F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("na") + F.col("nb")).alias("size")).alias("m"))
+        best = ways.groupBy(F.col("n.x").alias("x")).agg(F.min("m").alias("m")).select("m.*")
+        merges = best.groupBy("lo", "hi").agg(F.count("*").alias("n"), F.first("size").alias("size")).where("n = 2")
         renamed = cut(merges.select(F.explode(F.array("lo", "hi")).alias("old"), F.col("lo").alias("new"), "size"))
-        if renamed.isEmpty():
+        count = renamed.count()
+        if not count:
             break
-        names_ = renamed.select("old", "new") if names_ is None else names_
-        if moved is None:
-            moved = renamed.select(F.col("old").alias("node"), F.col("new").alias("cluster"))
-        else:
-            step = renamed.select("old", "new")
-            joined = moved.join(step, moved["cluster"] == step["old"], "full_outer")
-            moved = joined.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "cluster").alias("cluster"))
-        moved = cut(moved)
+        steps.append(renamed.select("old", "new"))
+        small = count <= BROADCAST_ROWS
         ra, rb = (renamed.select(F.col("old").alias(s), F.col("new").alias(f"new_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
-        mapped = now.join(ra, "a", "left").join(rb, "b", "left").select(
-            F.coalesce("new_a", "a").alias("x"), F.coalesce("size_a", "na").alias("nx"), F.coalesce("new_b", "b").alias("y"), F.coalesce("size_b", "nb").alias("ny"), "s"
-        ).where("x <> y")
-        ordered = mapped.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"), "s")
-        now = cut(ordered.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("s").alias("s")))
-    return moved if moved is not None else edges.sparkSession.createDataFrame([], "node string, cluster string")
-
-
-def _given_names(values: DataFrame) -> frozenset[str]:
-    """Words that open the names of several surnames, and of no fewer than they end; bounded by the given names in use.
-
-    ``values``: (value, n), n being the rows of a value. In a large input slips and reversed surnames open
-    several names too. A slip is told by its true name, one edit away and far commoner, whether in surnames
-    or, where these are used up, in rows. Listed names are no slips."""
-    @F.pandas_udf("first string, last string")
-    def ends(v: pd.Series) -> pd.DataFrame:
+        mapped = now.join(F.broadcast(ra) if small else ra, "a", "left").join(F.broadcast(rb) if small else rb, "b", "left")
+        x, y, nx, ny = F.coalesce("new_a", "a"), F.coalesce("new_b", "b"), F.coalesce("size_a", "na"), F.coalesce("size_b", "nb")
+        first = F.when(x < y, F.struct(x.alias("a"), y.alias("b"), nx.alias("na"), ny.alias("nb"))).otherwise(F.struct(y.alias("a"), x.alias("b"), ny.alias("na"), nx.alias("nb")))
+        now = cut(mapped.where(x != y).select(first.alias("p"), "s").groupBy("p").agg(F.sum("s").alias("s")).select("p.*", "s"))
+    if not steps:
+        return spark.createDataFrame([], "node string, cluster string")
+    # A node's first merge names its cluster, which later merges rename.
+    own = None
+    for step in steps:
+        if own is None:
+            own = step.select(F.col("old").alias("node"), F.col("new").alias("cluster"))
+            continue
+        joined = own.join(step, own["cluster"] == step["old"], "full_outer")
+        own = joined.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "cluster").alias("cluster"))
+    return cut(own)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, word, other, opens): the words whose meaning other names can tell."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for kind, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if kind == "person":
+                p = names.person(value)
+                if p and p.given and p.surname and len(p.given[0]) > 1:
+                    rows += [(kind, value, p.given[0], p.surname, True), (kind, value, p.surname, p.given[0], False)]
+            elif f := names.firm(value):
+                rows += [(kind, value, w, f.core, True) for w in f.line]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        yield pa.record_batch([pa.array(c, pa.bool_() if k == 4 else pa.string()) for k, c in enumerate(columns)], names=["kind", "value", "word", "other", "opens"])
+
+
+def _word_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for name in v:
-            p = names.person(name)
-            rows.append((p.given[0], p.surname) if p and p.given and len(p.given[0]) > 1 else (None, None))
-        return pd.DataFrame(rows, columns=["first", "last"])
-
-    @F.pandas_udf("boolean")
-    def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([names.distance(x, y, 1) <= 1 for x, y in zip(a, b, strict=True)], dtype="bool")
-
-    read = values.select(ends("value").alias("e"), "n").select("e.*", "n").where("first IS NOT NULL")
-    sides = F.array(F.struct(F.col("first").alias("word"), F.col("last").alias("after"), F.lit(None).cast("string").alias("before"), "n"), F.struct(F.col("last").alias("word"), F.lit(None).cast("string").alias("after"), F.col("first").alias("before"), F.lit(0).cast("long").alias("n")))
-    words = read.select(F.explode(sides).alias("s")).select("s.*").groupBy("word").agg(F.countDistinct("after").alias("opens"), F.countDistinct("before").alias("ends"), F.sum("n").alias("n"))
-    words = cut(words.where((F.col("opens") >= GIVEN_SUPPORT) & (F.col("opens") >= F.col("ends"))).select("word", "opens", "n"))
-    # Words within one edit share themselves with one sign left out, or one of them so.
-    keys = F.array_union(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substring("word", F.lit(1), k - 1), F.substring("word", k + 1, F.length("word")))))
-    keyed = words.withColumn("key", F.explode(keys))
-    true = keyed.select(F.col("word").alias("true"), F.col("opens").alias("true_opens"), F.col("n").alias("true_n"), "key")
-    beside = keyed.join(true, "key").where((F.col("true_opens") >= COMMONER * F.col("opens")) | ((F.col("true_n") >= COMMONER * F.col("n")) & (F.col("true_opens") >= F.col("opens"))))
-    slips = beside.select("word", "true").distinct().where(one_edit("word", "true")).select("word").distinct()
-    slips = slips.where(~F.col("word").isin(*sorted(names.USUAL | names.FORMAL.keys())))
-    return frozenset(r["word"] for r in words.where(~F.contains("word", F.lit(names.LOST))).join(slips, "word", "left_anti").select("word").collect())
-
-
-def read_people(values: DataFrame, given: frozenset[str]) -> DataFrame:
-    """(value, node, core, initials): node is the normal form; initials block within a core."""
-    known = values.sparkSession.sparkContext.broadcast(given)
+        for kind, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows += [(f"{kind}|{word}", "given", f"{kind}|{g}", w, 1.0) for g, w in (grams(word) if kind == "person" else skips(word)).items()]
+        yield _cells(rows)
+
+
+def word_meanings(words: DataFrame) -> DataFrame:
+    """(kind, word, known, meant): whether a word is a given name, and the far commoner word it is a slip or short
+    form of, if any. ``words``: rows of ``_words``. Listed given names are slips of no other."""
+    once = words.select("kind", "word", "other", "opens").distinct()
+    stats = cut(once.groupBy("kind", "word").agg(F.count_if("opens").alias("n"), F.count_if(~F.col("opens")).alias("ends")).where("n > 0"))
+    near = cosine_join(unit_vectors(stats.select("kind", "word").mapInArrow(_word_cells, CELLS), 1), min(WORD_COSINE.values()))
+    ways = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    side = lambda s: stats.select(F.concat_ws("|", "kind", "word").alias(s), F.col("word").alias(f"word_{s}"), F.col("n").alias(f"n_{s}"))
+    ways = ways.join(side("a").withColumn("kind", F.substring_index("a", "|", 1)), "a").join(side("b"), "b")
+    longer = F.length("word_b") > F.length("word_a") + 1
+    person = (F.col("kind") == "person") & (F.col("cosine") >= WORD_COSINE["person"]) & (F.col("n_b") >= COMMONER * F.col("n_a")) & ~F.col("word_a").isin(*sorted(names.USUAL | names.FORMAL.keys()))
+    firm = (F.col("kind") == "company") & ((F.col("n_b") >= COMMONER * F.col("n_a")) | (longer & (F.col("n_b") >= SHORTENS * F.col("n_a"))))
+    meant = ways.where(person | firm).groupBy("kind", F.col("word_a").alias("word")).agg(F.max_by("word_b", F.struct("cosine", "n_b", "word_b")).alias("meant"))
+    known = (F.col("kind") == "person") & (F.col("n") >= GIVEN_SUPPORT) & (F.col("n") >= F.col("ends")) & F.col("meant").isNull() & ~F.contains("word", F.lit(names.LOST))
+    return stats.join(meant, ["kind", "word"], "left").select("kind", "word", known.alias("known"), "meant").where("known OR meant IS NOT NULL")
+
+
+def told(values: DataFrame) -> DataFrame:
+    """(kind, value, known, meant) of the values that hold a known given name or a word with another meaning."""
+    words = cut(values.mapInArrow(_words, "kind string, value string, word string, other string, opens boolean"))
+    by_value = words.select("kind", "value", "word").join(word_meanings(words), ["kind", "word"])
+    return by_value.groupBy("kind", "value").agg(F.collect_set(F.when(F.col("known"), F.col("word"))).alias("known"), F.collect_set(F.when(F.col("meant").isNotNull(), F.struct("word", "meant"))).alias("meant"))
+
+
+def person_features(p: names.Person, meant: dict[str, str]) -> list[tuple[str, str, float]]:
+    """(block, feature, weight): n-grams of the surname; initials and full forms the given name may stand for."""
+    first = p.given[0]
+    out = [("surname", f"s|{g}", w) for g, w in grams(p.surname).items()]
+    true = meant.get(first, first)
+    full = {true} if len(true) == 1 else names.FORMAL.get(true, frozenset({true}))
+    initials = {f[0] for f in full} | ({true[0]} if first in meant else {first[0]})
+    out += [("given", f"i|{i}", math.sqrt((1.0 if len(first) == 1 else 0.5) / len(initials))) for i in sorted(initials)]
+    if len(first) > 1:
+        out += [("given", f"g|{f}", math.sqrt(0.5 / len(full))) for f in sorted(full)]
+    if len(p.given) > 1:
+        out.append(("middle", f"m|{p.given[1][0]}", 1.0))
+    if p.generation:
+        out.append(("generation", f"j|{p.generation}", 1.0))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(0).to_pylist():
-                p = names.person(value, known.value)
-                if p is None or not p.surname or not p.given:
-                    continue
-                first = p.given[0]
-                letters = {first[0], *(f[0] for f in names.FORMAL.get(first, ()))}
-                if len(first) > 1 and first not in known.value:
-                    letters |= {first[1], *(f[0] for s, fs in names.FORMAL.items() if abs(len(s) - len(first)) < 2 and names.distance(s, first, 1) <= 1 for f in fs)}
-                rows.append((value, p.key, p.surname, sorted(letters)))
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["value", "node", "core", "blocks"])
 
-    return values.mapInArrow(run, "value string, node string, core string, blocks array<string>")
+def firm_features(f: names.Firm, meant: dict[str, str]) -> list[tuple[str, str, float]]:
+    out = [("core", f"s|{g}", w) for g, w in grams(f.core, (1, 2)).items()]
+    out += [("line", f"l|{w}", 1.0) for w in sorted({meant.get(w, w) for w in f.line})]
+    return [*out, ("legal", f"f|{f.legal}", 1.0)] if f.legal else out
 
 
-def read_firms(values: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for value in batch.column(0).to_pylist():
+FEATURES = "array<struct<block:string,feature:string,w:double,energy:double>>"
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, node, cells): node is the normal form with its meanings, alike for values that differ in case, marks,
+    order, titles or garbling only."""
+    cell = pa.list_(pa.struct([("block", pa.string()), ("feature", pa.string()), ("w", pa.float64()), ("energy", pa.float64())]))
+    for batch in batches:
+        rows = []
+        for kind, value, known, pairs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            meant = {p["word"]: p["meant"] for p in pairs or ()}
+            if kind == "person":
+                p = names.person(value, frozenset(known or ()))
+                if p is None or not p.surname or not p.given:
+                    continue
+                first = p.given[0]
+                sure = len(first) > 1 and (first in names.USUAL or first in names.FORMAL or first in (known or ()))
+                key, cells = f"{p.key}|{' '.join(sorted(names.FORMAL.get(first, {first})))}" if sure else f"{p.key}|", person_features(p, meant)
+            else:
                 f = names.firm(value)
-                if f is not None:
-                    rows.append((value, f.key, f.core, [f.line[0][0]] if f.line else ["-"]))
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["value", "node", "core", "blocks"])
-
-    return values.mapInArrow(run, "value string, node string, core string, blocks array<string>")
-
-
-def person_score(a: str, b: str, cosine: float, meant_a: int, meant_b: int, given: frozenset[str]) -> float:
-    (ga, sa, xa), (gb, sb, xb) = (k.split("|") for k in (a, b))
-    level = names.given_level(tuple(ga.split()), tuple(gb.split()), given)
-    core = names.near(sa, sb)
-    if core == 3 and (level == 0 or (xa and xb and xa != xb)):
-        return AGAINST
-    if not level or not core or (xa and xb and xa != xb) or (core < 3 and names.LOST not in sa + sb and min(meant_a, meant_b) >= MEANT):
-        return 0.0
-    if core < 3 and level == 1:
-        core -= 0.5  # slips in both parts are rare
-    return {3: 1.0, 2: 0.9, 1: 0.8}[level] * {3: 1.0, 2: 0.85, 1.5: 0.65, 1: 0.7, 0.5: 0.5}[core] * (0.9 + 0.1 * cosine)
-
-
-def firm_score(a: str, b: str, cosine: float, meant_a: int, meant_b: int, given: frozenset[str]) -> float:
-    (ca, la, fa), (cb, lb, fb) = (k.split("|") for k in (a, b))
-    core = names.near(ca, cb)
-    if not core or (core < 3 and names.LOST not in ca + cb and min(meant_a, meant_b) >= MEANT):
-        return 0.0
-    line = names.line_level(tuple(la.split()), tuple(lb.split()))
-    legal = names.legal_level(fa, fb)
-    if line == 0 or legal == 0:
-        return AGAINST if core == 3 else 0.0
-    base = {3: 1.0, 2: 0.85, 1: 0.7}[core] * (0.9 + 0.1 * cosine)
-    if line is None:  # the line of business left out: the legal form must speak for it
-        base *= 0.85 if legal else 0.65
-    return base
-
-
-SCORES = {"person": person_score, "company": firm_score}
-
-
-def _seen_together(near: DataFrame, read: DataFrame, seen: DataFrame) -> DataFrame:
-    """Of the pairs of different cores those seen in one context, or of which a core has none."""
-    at = read.select("value", "core").join(seen, "value").select("core", "context").distinct()
-    a, b = (at.select(F.col("core").alias(f"core_{s}"), "context") for s in "ab")
-    known = at.select("core").distinct()
-    one = near.join(a, "core_a").join(b, ["core_b", "context"], "left_semi").select("core_a", "core_b", "cosine").distinct()
-    silent = near.join(known.select(F.col("core").alias("core_a")), "core_a", "left_anti").select("core_a", "core_b", "cosine")
-    silent = silent.unionByName(near.join(known.select(F.col("core").alias("core_b")), "core_b", "left_anti").select("core_a", "core_b", "cosine"))
-    return one.unionByName(silent).distinct()
-
-
-def entities(values: DataFrame, kind: str, least: float = LINKAGE) -> DataFrame:
-    """(value, entity) of every distinct value in ``value`` that has another spelling.
-
-    Where ``values`` has a column ``context`` (what a value was seen with, such as a profile), a slip in
-    the core is only believed if both spellings share a context; cores without any are believed.
-
-    ``kind``: person or company. Null, empty and blank values, and values without a surname and a
-    given name, belong to no entity. Repeated values count once. Values of equal normal form (case,
-    marks, order, titles, garbling) are one node of the clustering."""
-    spark = values.sparkSession
-    filled = values.where("trim(value) <> ''")
-    rows = cut(spread(filled.groupBy("value").agg(F.count("*").alias("n"))))
-    given = _given_names(rows) if kind == "person" else frozenset()
-    pool = rows.select("value")
-    read = cut(read_people(pool, given) if kind == "person" else read_firms(pool))
-    cores = read.groupBy("core").agg(F.countDistinct("value").alias("meant"))
-    near = sparse_cosine_join(cores.select("core"), gap=GAP)
-    if "context" in values.columns:
-        near = cut(_seen_together(cut(near), read, filled.where("context IS NOT NULL").select("value", "context").distinct()))
-        cores = cores.withColumn("meant", F.lit(0))  # what was seen together needs no other evidence
-    linked = near.unionByName(cores.select(F.col("core").alias("core_a"), F.col("core").alias("core_b"), F.lit(1.0).alias("cosine")))
-    nodes = read.select("node", "core", "blocks").distinct().join(cores, "core")
-    if kind == "person":
-        nodes = nodes.select("node", "core", "meant", F.explode("blocks").alias("block"))
-    else:
-        nodes = nodes.select("node", "core", "meant", F.lit("").alias("block"))
-    a = nodes.select(F.col("node").alias("a"), F.col("core").alias("core_a"), F.col("meant").alias("meant_a"), "block")
-    b = nodes.select(F.col("node").alias("b"), F.col("core").alias("core_b"), F.col("meant").alias("meant_b"), "block")
-    pairs = linked.join(a, "core_a").join(b, ["core_b", "block"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine", F.when(F.col("a") < F.col("b"), F.col("meant_a")).otherwise(F.col("meant_b")).alias("ma"), F.when(F.col("a") < F.col("b"), F.col("meant_b")).otherwise(F.col("meant_a")).alias("mb")).distinct()
-    shared = spark.sparkContext.broadcast(given)
-    rate = SCORES[kind]
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series, c: pd.Series, ma: pd.Series, mb: pd.Series) -> pd.Series:
-        return pd.Series([rate(*row, shared.value) for row in zip(a, b, c, ma, mb, strict=True)], dtype="float64")
-
-    edges = pairs.select("a", "b", score("a", "b", "cosine", "ma", "mb").alias("score"))
-    clusters = average_linkage(edges, least)
-    own = read.select("value", "node").join(clusters, "node", "left").select("value", F.coalesce("cluster", "node").alias("entity"))
-    shared_by = own.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity")
-    return own.join(shared_by, "entity").select("value", "entity")
-
-
-def _with_context(df: DataFrame, value: str, *contexts: Column) -> DataFrame:
-    return df.select(F.col(value).alias("value"), F.explode(F.array(*contexts)).alias("context"))
-
-
-def pools(df: DataFrame) -> dict[str, DataFrame]:
-    """The typed names with what they were seen with: profile and firm, or profile and person."""
+                if f is None:
+                    continue
+                key, cells = f"{f.key}|{' '.join(sorted({meant.get(w, w) for w in f.line}))}", firm_features(f, meant)
+            rows.append((kind, value, f"{kind}|{key}", [{"block": b, "feature": f"{kind}|{x}", "w": w, "energy": ENERGY[b]} for b, x, w in cells]))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), cell), strict=True)], names=["kind", "value", "node", "cells"])
+
+
+def agreeing(a: Column, b: Column) -> Column:
+    """The exact check after the cosine. Nodes: person|given names|surname|generation|full forms where the given name is
+    certain, and company|core|line|legal form|meant line. Not two certain given names without a full form in common
+    (relatives), different further initials or generations, nor different lines of business or legal forms (sister firms)."""
+    x, y = F.split(a, r"\|"), F.split(b, r"\|")
+    part = lambda p, k: F.try_element_at(p, F.lit(k))
+    further = lambda p: F.coalesce(F.substring(F.try_element_at(F.split(part(p, 2), " "), F.lit(2)), 1, 1), F.lit(""))
+    apart = lambda u, v: (u != "") & (v != "") & (u != v)
+    unlike = apart(part(x, 5), part(y, 5)) & ~F.arrays_overlap(F.split(part(x, 5), " "), F.split(part(y, 5), " "))
+    return ~(unlike | apart(part(x, 4), part(y, 4)) | (a.startswith("person|") & apart(further(x), further(y))))
+
+
+def entities(seen: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(kind, value, entity) of every distinct value that has another spelling.
+
+    ``seen``: (kind, value, context) rows; ``kind`` is person or company, ``context`` what a value was seen with, such
+    as a profile; it may be null. Null, empty and blank values, and persons without a surname or a given name,
+    belong to no entity. Repeated rows count once. Values of equal normal form are one node of the clustering."""
+    seen = cut(spread(seen.where("trim(value) <> ''").select("kind", "value", "context").distinct()))
+    values = seen.select("kind", "value").distinct()
+    read = cut(values.join(told(values), ["kind", "value"], "left").mapInArrow(_vectors, f"kind string, value string, node string, cells {FEATURES}"))
+    nodes = read.groupBy("node").agg(F.first("cells").alias("cells"))
+    cells = nodes.select(F.col("node").alias("id"), F.explode("cells").alias("c")).select("id", "c.block", "c.feature", "c.w", "c.energy")
+    at = seen.where("context IS NOT NULL").join(read.select("kind", "value", "node"), ["kind", "value"])
+    at = at.select(F.col("node").alias("id"), F.lit("context").alias("block"), F.concat_ws("|", "kind", F.lit("x"), "context").alias("feature"), F.lit(1.0).alias("w"), F.when(F.col("kind") == "person", SEEN_WITH["person"]).otherwise(SEEN_WITH["company"]).alias("energy")).distinct()
+    near = cosine_join(unit_vectors(cut(cells.unionByName(at)), nodes.count()), cosine).where(agreeing(F.col("a"), F.col("b")))
+    bound = F.when(F.col("a").startswith("person|"), LINKAGE["person"]).otherwise(LINKAGE["company"])
+    clusters = average_linkage(near.withColumnRenamed("cosine", "score"), bound)
+    own = read.select("kind", "value", "node").join(clusters, "node", "left").select("kind", "value", F.coalesce("cluster", "node").alias("entity"))
+    return own.withColumn("n", F.count("*").over(Window.partitionBy("entity"))).where("n > 1").drop("n")
+
+
+def mentions(df: DataFrame, kinds: tuple[str, ...] = ("person", "company")) -> DataFrame:
+    """(kind, value, context) of the typed names, with the profile and firm, or profile and person, they were seen with; one scan."""
     page = F.concat(F.lit("u|"), F.nullif(F.lower(F.regexp_replace(F.regexp_replace("profile_url", "(?s)[?#].*$", ""), "/+$", "")), F.lit("")))
     firm = F.concat(F.lit("c|"), F.nullif(F.lower(F.regexp_extract("company_name", r"([\p{L}\p{N}]{3,})", 1)), F.lit("")))
-    who = F.concat(F.lit("p|"), F.nullif(F.lower(F.trim("person_name")), F.lit("")))
-    people = _with_context(df, "person_name", page, firm).unionByName(_with_context(df, "author_name", page, firm))
-    return {"person": people, "company": _with_context(df, "company_name", page, who)}
+    who = F.concat(F.lit("p|"), F.array_join(F.array_sort(F.regexp_extract_all(F.lower("person_name"), F.lit(r"([\p{L}\p{M}]+)"), 1)), " "))
+    rows = {
+        "person": [F.struct(F.lit("person").alias("kind"), F.col(v).alias("value"), c.alias("context")) for v in ("person_name", "author_name") for c in (page, firm)],
+        "company": [F.struct(F.lit("company").alias("kind"), F.col("company_name").alias("value"), c.alias("context")) for c in (page, who)],
+    }
+    return df.select(F.explode(F.array(*[s for k in kinds for s in rows[k]])).alias("m")).select("m.*")
 
 
 def found(df: DataFrame) -> DataFrame:
-    """(kind, name_a, name_b): pairs of different stored values of one entity, name_a < name_b."""
-    out = None
-    for kind, values in pools(df).items():
-        own = cut(entities(values, kind))
-        pairs = own.select("entity", F.col("value").alias("name_a")).join(own.select("entity", F.col("value").alias("name_b")), "entity").where("name_a < name_b")
-        rows = pairs.select(F.lit(kind).alias("kind"), "name_a", "name_b").distinct()
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(kind, name_a, name_b): pairs of different stored values of one entity, name_a < name_b. The pairs are what the
+    query asks for; ``entities`` gives the same as one row per value."""
+    own = cut(entities(mentions(df)))
+    a, b = (own.select("kind", "entity", F.col("value").alias(f"name_{s}")) for s in "ab")
+    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b").distinct()
