@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -64,19 +65,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Even out an input of too few splits before CPU-heavy work.
 
-    A single small file is one split and would run on one core. Inputs that already have two
-    splits a core (any input of real size) are left alone, so no shuffle is added at scale.
+    A single small file is one split and would run on one core. Inputs that fill two splits a core by
+    the plan's own estimate of their size (any input of real size) are left alone, so no shuffle is
+    added at scale; reading the estimate runs no job.
     """
-    ship(df.sparkSession)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    spark = df.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 2 * cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return df
     return df.repartition(per_core * cores)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where
-    that setting is absent, as in tests."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where that
+    setting is absent on a local master, as in tests. A cluster without the setting is an error."""
     named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -84,6 +88,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="quillmark-")
         atexit.register(shutil.rmtree, current, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(current)
