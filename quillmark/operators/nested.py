@@ -1,9 +1,10 @@
 """Deeply nested records as flat related tables.
 
-One narrow pass walks each payload level by level: every object becomes a node row that carries its
-own key, its parent's key, the array ordinal it stands at and its full path. Typed child tables are
-views on the nodes: per kind a schema is merged over all rows (a distributed aggregate of field and
-type), and the node's own JSON is read with it.
+Every array level and every object becomes rows of a child table: one narrow pass explodes each payload
+recursively, and each row carries its own surrogate key, its parent's key, the array ordinal it stands
+at and its full path. The merged schema (a distributed aggregate of table, field and type over all
+rows; objects with names for keys are folded into one table) types the child tables, so a new key or
+list gets its column or table without a change here.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Collection, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,21 +25,101 @@ from quillmark.session import spread
 
 OBJECT_KEYS = ("stats", "posted_at", "reshared_post")
 LIST_KEYS = ("experience", "roles")
-NODE_SCHEMA = "node_key string, parent_key string, parent_path string, kind string, path string, ordinal int, depth int, n_keys int, body string"
+NODE_SCHEMA = "node_key string, parent_key string, parent_kind string, kind string, name string, path string, ordinal int, depth int, n_keys int, body string"
+#: An object of more distinct keys over all rows holds names for keys: its members are rows of one table.
+MAP_KEYS = 50
+#: Digits up to which a whole number is read as such; longer ones keep their text.
+DIGITS = 4000
 
 
 def _reject(token: str) -> None:
     raise ValueError(token)
 
 
+def _whole(digits: str) -> int | str:
+    return int(digits) if len(digits) <= DIGITS else digits
+
+
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"null": None, "true": True, "false": False}
+
+
+def parse_deep(text: str) -> object:
+    """JSON of any depth: open objects and lists are held on a stack of our own."""
+    at = lambda i: _BLANK.match(text, i).end()
+    stack: list[tuple[dict | list, str | None]] = []
+    i = at(0)
+    while True:
+        opened = text[i : i + 1]
+        if opened in ("{", "["):
+            value: object = {} if opened == "{" else []
+            i = at(i + 1)
+            if text[i : i + 1] != ("}" if opened == "{" else "]"):
+                stack.append((value, None))
+                if opened == "{":
+                    i = _key(text, i, stack, at)
+                continue
+            i += 1
+        elif opened == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif m := _NUMBER.match(text, i):
+            value, i = (float(m[0]) if m[1] or m[2] else _whole(m[0])), m.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, i)), None)
+            if word is None:
+                raise ValueError(i)
+            value, i = _WORDS[word], i + len(word)
+        while stack:  # the value is complete: put it where it belongs, and close what ends here
+            held, key = stack[-1]
+            if isinstance(held, dict):
+                held[key] = value
+            else:
+                held.append(value)
+            i = at(i)
+            sign = text[i : i + 1]
+            if sign == ",":
+                i = at(i + 1)
+                if isinstance(held, dict):
+                    stack.pop()
+                    stack.append((held, None))
+                    i = _key(text, i, stack, at)
+                break
+            if sign != ("}" if isinstance(held, dict) else "]"):
+                raise ValueError(i)
+            stack.pop()
+            value, i = held, i + 1
+        else:
+            if at(i) != len(text):
+                raise ValueError(i)
+            return value
+
+
+def _key(text: str, i: int, stack: list, at) -> int:  # noqa: ANN001
+    """Reads ``"key":`` for the object on top and gives the place of its value."""
+    if text[i : i + 1] != '"':
+        raise ValueError(i)
+    key, i = scanstring(text, i + 1, True)
+    i = at(i)
+    if text[i : i + 1] != ":":
+        raise ValueError(i)
+    stack[-1] = (stack[-1][0], key)
+    return at(i + 1)
+
+
 def parse_payload(text: str | None) -> tuple[bool, object]:
-    """Whether it is valid JSON (NaN and Infinity are not), and its value."""
+    """Whether it is valid JSON (NaN and Infinity are not), and its value; neither depth nor digits are bounded."""
     if not text:
         return False, None
     try:
-        return True, json.loads(text, parse_constant=_reject)
-    except (ValueError, RecursionError):
+        return True, json.loads(text, parse_constant=_reject, parse_int=_whole)
+    except ValueError:
         return False, None
+    except RecursionError:
+        try:
+            return True, parse_deep(text)
+        except ValueError:
+            return False, None
 
 
 def as_object(value: object) -> object:
@@ -59,62 +142,49 @@ def node_key(record: str, path: str) -> str:
     return hashlib.blake2b(f"{record}\x00{path}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def walk(record: str, root: object, objects: tuple[str, ...], lists: tuple[str, ...]) -> list[tuple]:
-    """All nodes of one payload, parents before children; an explicit stack, so depth is no limit.
+def walk(record: str, root: object, objects: Collection[str] = OBJECT_KEYS, lists: Collection[str] = LIST_KEYS) -> Iterator[tuple]:
+    """All rows of one payload, parents before children; an explicit stack, so depth is no limit.
 
-    Only the root and the objects under the named keys become nodes; a node's parent is the nearest
-    node above it. Elements of a list are numbered over all elements, whatever they are.
-    """
-    nodes: list[tuple] = []
-    root_key = node_key(record, "")
-    nodes.append((root_key, None, None, "root", "", None, 0, len(root) if isinstance(root, dict | list) else 0, root))
-    # (value, path, key it stands under, key of the list it stands in, ordinal, parent key, parent path, depth)
-    stack: list[tuple] = [(root, "", None, None, None, root_key, "", 0)]
+    Each object is a row of the table of the key it stands under, each element of a list a row of the list's
+    table (objects with their fields, other elements with ``value``; a list within a list is the table
+    ``key[]``). The parent is the object around it. Elements are numbered over all elements. Under ``objects``
+    and in ``lists``, an object delivered as text counts as the object, and a single object in place of a list
+    is element 0. Empty objects are rows without fields."""
+    # (value, path, table, key, ordinal, parent key, parent table, depth)
+    stack: list[tuple] = [(root, "", "root", None, None, None, None, 0)]
     while stack:
-        value, path, key, list_key, ordinal, parent, parent_path, depth = stack.pop()
-        if key in objects or list_key in lists:
+        value, path, table, name, ordinal, parent, parent_table, depth = stack.pop()
+        if table in (objects if ordinal is None else lists):
             value = as_object(value)
-        if isinstance(value, dict):
-            kind = key if key in objects else list_key if list_key in lists else None
-            if kind is not None and value:
-                own = node_key(record, path)
-                nodes.append((own, parent, parent_path, kind, path, ordinal, depth, len(value), value))
-                parent, parent_path, depth = own, path, depth + 1
-            for name, item in value.items():
-                below = f"{path}.{name}" if path else name
-                if name in lists:
-                    item = as_object(item)
-                    if isinstance(item, dict):  # a single object in place of a list is element 0
-                        stack.append((item, f"{below}[0]", None, name, 0, parent, parent_path, depth))
-                        continue
-                if isinstance(item, list):
-                    in_list = name if name in lists else None
-                    for k, element in enumerate(item):
-                        stack.append((element, f"{below}[{k}]", None, in_list, k, parent, parent_path, depth))
-                elif isinstance(item, dict | str):
-                    stack.append((item, below, name, None, None, parent, parent_path, depth))
-        elif isinstance(value, list):
-            for k, element in enumerate(value):
-                stack.append((element, f"{path}[{k}]", None, None, k, parent, parent_path, depth))
-    return nodes
-
-
-def _own(value: object) -> str:
-    """The node's scalar fields as JSON; nested parts live in their own rows."""
-    if not isinstance(value, dict):
-        return "{}"
-    scalars = {k: v for k, v in value.items() if not isinstance(v, dict | list) and not isinstance(as_object(v), dict)}
-    return json.dumps(scalars, ensure_ascii=False)
-
-
-def nodes(df: DataFrame, key: str = "record_id", payload: str = "payload", objects: tuple[str, ...] = OBJECT_KEYS, lists: tuple[str, ...] = LIST_KEYS) -> DataFrame:
-    """Node rows of every payload with ``key`` in front.
+        if isinstance(value, list):
+            table_of = table if name is None and ordinal is None else f"{table}[]"
+            stack += [(item, f"{path}[{k}]", table_of, None, k, parent, parent_table, depth) for k, item in enumerate(value)]
+            continue
+        own = node_key(record, path)
+        fields = value if isinstance(value, dict) else {"value": value}
+        scalars = {}
+        for key, item in fields.items():
+            below = f"{path}.{key}" if path else key
+            if key in lists and isinstance(item := as_object(item), dict):
+                stack.append((item, f"{below}[0]", key, None, 0, own, table, depth + 1))
+            elif isinstance(item, list):
+                stack += [(x, f"{below}[{k}]", key, None, k, own, table, depth + 1) for k, x in enumerate(item)]
+            elif isinstance(item, dict) or (key in objects and isinstance(as_object(item), dict)):
+                stack.append((item, below, key, key, None, own, table, depth + 1))
+            else:
+                scalars[key] = item
+        yield own, parent, parent_table, table, name, path, ordinal, depth, len(value) if isinstance(value, dict) else 0, scalars
+
+
+def nodes(df: DataFrame, key: str = "record_id", payload: str = "payload", tables: tuple[str, ...] | None = None, objects: tuple[str, ...] = OBJECT_KEYS, lists: tuple[str, ...] = LIST_KEYS) -> DataFrame:
+    """Rows of every payload with ``key`` in front; only those of ``tables``, if given.
 
     Null, empty and invalid payloads give nothing. Repeated records give equal rows each time; a
     null ``key`` is kept as null. Only ``key`` and ``payload`` are read, so other columns can't clash.
     """
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(NODE_SCHEMA).fields])
     names = [f.name for f in schema.fields]
+    kinds = [pa.string()] * 6 + [pa.int32()] * 3 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,40 +194,62 @@ def nodes(df: DataFrame, key: str = "record_id", payload: str = "payload", objec
                 if not ok:
                     continue
                 for node in walk(str(record), root, objects, lists):
-                    source.append(at)
-                    out.append((*node[:8], _own(node[8])))
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
-            kinds = [pa.string()] * 5 + [pa.int32()] * 3 + [pa.string()]
-            arrays = [pa.array([_clean(x) for x in c] if t == pa.string() else c, t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.record_batch([keys.take(pa.array(source, pa.int64())), *arrays], names=names)
+                    if tables is None or node[3] in tables:
+                        source.append(at)
+                        out.append((*node[:9], json.dumps(node[9], ensure_ascii=False)))
+                if len(out) >= BLOCK:
+                    yield _block(keys, source, out, kinds, names)
+                    source, out = [], []
+            yield _block(keys, source, out, kinds, names)
 
     return spread(df.select(key, payload)).mapInArrow(run, schema)
 
 
+#: Rows handed over together, so one payload of very many objects does not fill a batch's memory twice.
+BLOCK = 50_000
+
+
+def _block(keys: pa.Array, source: list[int], out: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
+    arrays = [pa.array([_clean(x) for x in c] if t == pa.string() else c, t) for c, t in zip(columns, kinds, strict=True)]
+    return pa.record_batch([keys.take(pa.array(source, pa.int64())), *arrays], names=names)
+
+
 def _clean(text: str | None) -> str | None:
     """Lone surrogates of a JSON escape have no UTF-8 form; they become U+FFFD."""
     return text if text is None else text.encode("utf-8", "replace").decode() if not text.isascii() else text
 
 
+def folded(node_rows: DataFrame) -> DataFrame:
+    """The rows with members of objects that hold names for keys as one table ``<object>.*``; ``name`` keeps the key."""
+    wide = node_rows.where("name IS NOT NULL").groupBy("parent_kind").agg(F.approx_count_distinct("kind").alias("n")).where(F.col("n") > MAP_KEYS)
+    marked = node_rows.join(wide.select(F.col("parent_kind").alias("map_kind"), F.lit(True).alias("is_map")), F.col("parent_kind") == F.col("map_kind"), "left")
+    kind = F.when(F.col("is_map") & F.col("name").isNotNull(), F.concat("parent_kind", F.lit(".*"))).otherwise(F.col("kind"))
+    return marked.withColumn("kind", kind).select(*node_rows.columns)
+
+
 def merged_schema(node_rows: DataFrame) -> DataFrame:
-    """(kind, field, type) over all nodes: BIGINT if every value is integral, else DOUBLE, BOOLEAN or STRING.
-    One aggregate; its size is the number of distinct fields, not of rows."""
+    """(kind, field, type, n_values) over all rows: BIGINT if every value is a whole number that fits, else DOUBLE,
+    BOOLEAN or STRING. One aggregate; its size is the number of distinct fields, not of rows."""
     cell = node_rows.select("kind", F.explode(F.from_json("body", "map<string,string>")).alias("field", "value")).where("value IS NOT NULL")
-    number = F.col("value").rlike(r"^-?[0-9]+$")
+    whole = F.col("value").rlike(r"^-?[0-9]{1,18}$")
     real = F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
     flag = F.col("value").isin("true", "false")
-    all_of = lambda c: F.min(c.cast("int")) == 1
     return cell.groupBy("kind", "field").agg(
-        F.when(all_of(number), "BIGINT").when(all_of(real), "DOUBLE").when(all_of(flag), "BOOLEAN").otherwise("STRING").alias("type"),
+        F.when(F.every(whole), "BIGINT").when(F.every(real), "DOUBLE").when(F.every(flag), "BOOLEAN").otherwise("STRING").alias("type"),
         F.count("*").alias("n_values"),
     )
 
 
 def child_table(node_rows: DataFrame, kind: str, fields: dict[str, str], key: str = "record_id") -> DataFrame:
-    """The flat table of one kind: keys and ordinal, then one column per field of the merged schema."""
+    """The flat table of one kind: keys, ordinal and path, then one column per field of the merged schema."""
     cells = F.from_json("body", "map<string,string>")
-    columns = [F.expr(f"try_cast(cells['{name}'] AS {kind_})").alias(name if name not in ("node_key", "parent_key", "ordinal", "path", key) else f"field_{name}") for name, kind_ in sorted(fields.items())]
-    return node_rows.where(F.col("kind") == kind).withColumn("cells", cells).select(key, "node_key", "parent_key", "path", "ordinal", *columns)
+    own = (key, "node_key", "parent_key", "parent_kind", "name", "ordinal", "path")
+    columns = []
+    for field, type_ in sorted(fields.items()):
+        cell = F.try_element_at("cells", F.lit(field))
+        columns.append((cell if type_ == "STRING" else cell.try_cast(type_.lower())).alias(f"field_{field}" if field.lower() in own else field))
+    return node_rows.where(F.col("kind") == kind).withColumn("cells", cells).select(*own, *columns)
 
 
 def child_tables(node_rows: DataFrame, key: str = "record_id") -> dict[str, DataFrame]:
@@ -168,6 +260,15 @@ def child_tables(node_rows: DataFrame, key: str = "record_id") -> dict[str, Data
     return {kind: child_table(node_rows, kind, cols, key) for kind, cols in fields.items()}
 
 
-def found_paths(node_rows: DataFrame, key: str = "record_id") -> DataFrame:
-    """(key, path) of every non-empty object under the named keys."""
-    return node_rows.where("kind <> 'root' AND n_keys > 0").select(key, "path").distinct()
+def table_of(df: DataFrame, kind: str, key: str = "record_id") -> DataFrame:
+    """One child table, typed by the merged schema of its rows; a table nobody fills has its key columns only."""
+    rows = nodes(df, key, tables=(kind,))
+    return child_table(rows, kind, {r["field"]: r["type"] for r in merged_schema(rows).collect()}, key)
+
+
+def found_paths(df: DataFrame, key: str = "record_id") -> DataFrame:
+    """(key, path) of the rows with at least one key in the child tables of the named keys: objects that stand under
+    one of ``OBJECT_KEYS``, and elements of lists under one of ``LIST_KEYS``."""
+    rows = nodes(df, key, tables=(*OBJECT_KEYS, *LIST_KEYS)).where("n_keys > 0")
+    named = F.col("kind").isin(*OBJECT_KEYS) & F.col("ordinal").isNull() | F.col("kind").isin(*LIST_KEYS) & F.col("ordinal").isNotNull()
+    return rows.where(named).select(key, "path").distinct()

@@ -24,25 +24,25 @@ def p2_reject_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.found_paths(nested.nodes(table(spark, d, "raw_records")))
+    return nested.found_paths(table(spark, d, "raw_records"))
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(table(spark, d, "raw_records")).where("kind <> 'root'").drop("body")
+    """Every row of every child table, with its links."""
+    return nested.folded(nested.nodes(table(spark, d, "raw_records"))).drop("body")
 
 
 def p4_merged_schema(spark: SparkSession, d: str) -> DataFrame:
-    return nested.merged_schema(nested.nodes(table(spark, d, "raw_records")))
+    return nested.merged_schema(nested.folded(nested.nodes(table(spark, d, "raw_records"))))
 
 
-def p4_stats(spark: SparkSession, d: str) -> DataFrame:
-    names = ("total_reactions", "like", "comments", "reposts", "celebrate", "support", "love", "insight", "funny")
-    return nested.child_table(nested.nodes(table(spark, d, "raw_records")), "stats", {n: "BIGINT" for n in names})
+def _child(kind: str):  # noqa: ANN202
+    def child(spark: SparkSession, d: str) -> DataFrame:
+        return nested.table_of(table(spark, d, "raw_records"), kind)
 
+    child.__name__ = f"p4_{kind}"
+    return child
 
-def p4_experience(spark: SparkSession, d: str) -> DataFrame:
-    names = ("title", "company", "date_range", "dateRange", "location", "description")
-    return nested.child_table(nested.nodes(table(spark, d, "raw_records")), "experience", {n: "STRING" for n in names})
 
-
-QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_reject_cells, p4_found, p4_nodes, p4_merged_schema, p4_stats, p4_experience)}
+CHILDREN = tuple(_child(k) for k in (*nested.OBJECT_KEYS, *nested.LIST_KEYS, "education"))
+QUERIES = {f.__name__: f for f in (p2_found, p2_loaded, p2_reject_cells, p4_found, p4_nodes, p4_merged_schema, *CHILDREN)}
