@@ -4,7 +4,7 @@ A character-level bidirectional LSTM scores every sign, CRF transitions tie the
 neighbours together. Long texts are cut into overlapping windows; the windows' scores are merged,
 each weighted by how far inside its window a sign lies, and one Viterbi decoding runs over the whole
 text, so a window's edge never cuts a span. The weights were trained here in numpy from
-labelled spans (``pii_training``) and are sent to the tasks by broadcast.
+labelled spans (``pii_training``) and are sent to the tasks by broadcast. Equal texts are read once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import io
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -165,13 +165,14 @@ def window_starts(n: int) -> list[int]:
 
 
 #: A span of a type must at least look like this; decides nothing between types.
-NO_NAME = frozenset("also and are as at but con das die die est et for from has have il in is it la le mit no not of on or our pas que the this to und was we with you your".split())
-_AT = re.compile(r"@|\bat\b|\(at\)|\[at\]", re.I)
+NO_NAME = frozenset("also and are as but con das die et for from has have il in is it la le mit no not on or our pas que the this und was we with you your als bei como die des dies ist nicht oder sind wir avec pour dans est nous vous para por como esta este pero una più non per che alla som och det att för med van een het niet voor tym jest oraz dla nie wszystkim wszystko który która którzy które".split())
+_AT = re.compile(r"@|\bat\b|\b(?:arroba|chiocciola|arobase|apenstaartje|snabel-a|małpa|собака|klammeraffe)\b", re.I)
+LOST = "\ufffd"
 
 
 def plausible(kind: str, span: str) -> bool:
     digits = sum(c.isdigit() for c in span)
-    words = [w for w in re.findall(r"[^\W\d_]+", span)]
+    words = re.findall(rf"(?:[^\W\d_]|{LOST})+", span)
     if kind == "email":
         return bool(_AT.search(span)) and len(span) >= 6
     if kind == "phone":
@@ -180,7 +181,12 @@ def plausible(kind: str, span: str) -> bool:
         return digits >= 5
     if kind == "address":
         return digits >= 1 and any(len(w) > 2 for w in words)
-    return len(words) >= 2 and any(len(w) > 2 for w in words) and not digits and not NO_NAME & {w.casefold() for w in words}
+    if digits or not words or (len(words) < 2 and LOST not in span):
+        return False
+    if not re.search(r"[\s,]", span) and not re.match(r"\w\.", span):
+        return False
+    ends = [w for w in (words[0], words[-1]) if w.islower() or len(w) > 3]
+    return not NO_NAME & {w.casefold() for w in ends} and any(len(w) > 1 for w in words)
 
 
 def spans(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -224,53 +230,44 @@ def load_weights(path: Path | str = WEIGHTS) -> dict[str, np.ndarray]:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 
-_TAGGERS: dict[int, Tagger] = {}
-
-
 def detect(df: DataFrame, key: str = "row_id", fields: tuple[str, ...] = FIELDS, weights: Path | str = WEIGHTS) -> DataFrame:
     """(key, field, before, after, spans) of every field that holds personal information.
 
     ``spans`` are (start, end, type) in signs from 0. Null and empty texts give nothing; a text of
-    any length is read whole. Equal rows are each reported (equal texts of one batch are read once).
-    A null key is kept. Only ``key`` and ``fields`` are read."""
+    any length is read whole. Equal rows are each reported; equal texts are read once in the whole table.
+    A null key is kept. Only ``key`` and ``fields`` are read, in one scan."""
     shared = df.sparkSession.sparkContext.broadcast(load_weights(weights))
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, field string, before string, after string, spans array<struct<start:int,end:int,type:string>>"
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
-        known: dict[str, list] = {}
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fresh = list(dict.fromkeys(t for t in texts if t and t not in known))
-            for part in by_signs(fresh):
-                for text, tags in zip(part, tagger.tag(part), strict=True):
-                    known[text] = spans(text, tags)
-            rows = [(k, known[t]) for k, t in enumerate(texts) if t and known[t]]
-            if rows:
-                at = pa.array([k for k, _ in rows], pa.int64())
-                before = batch.column(2).take(at)
-                after = pa.array([redact(t, s) for t, (_, s) in zip(before.to_pylist(), rows, strict=True)], pa.string())
-                cells = pa.array([[{"start": a, "end": b, "type": c} for a, b, c in s] for _, s in rows], span_type)
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), before, after, cells], names=[key, "field", "before", "after", "spans"])
-            known.clear()
-
-    texts = reduce(DataFrame.unionByName, [df.select(F.col(key), F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    return spread(texts.where("text IS NOT NULL AND text <> ''")).mapInArrow(run, schema)
-
-
-def by_signs(texts: list[str]) -> Iterator[list[str]]:
+            for at, part in by_signs(batch.column(1).to_pylist()):
+                rows = [(at + k, t, s) for k, (t, tags) in enumerate(zip(part, tagger.tag(part), strict=True)) if (s := spans(t, tags))]
+                of = batch.column(0).take(pa.array([k for k, *_ in rows], pa.int64()))
+                after = pa.array([redact(t, s) for _, t, s in rows], pa.string())
+                cells = pa.array([[{"start": a, "end": b, "type": c} for a, b, c in s] for *_, s in rows], span_type)
+                yield pa.record_batch([of, pa.array([t for _, t, _ in rows], pa.string()), after, cells], names=["text_id", "before", "after", "spans"])
+
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("c")
+    rows = df.select(F.col(key), cells).select(key, "c.field", "c.text").where("text IS NOT NULL AND text <> ''").withColumn("text_id", F.sha2("text", 256))
+    once = spread(rows.groupBy("text_id").agg(F.first("text").alias("text")))
+    read = once.mapInArrow(run, "text_id string, before string, after string, spans array<struct<start:int,end:int,type:string>>")
+    return rows.select(key, "field", "text_id").join(read, "text_id").select(key, "field", "before", "after", "spans")
+
+
+def by_signs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) in parts of about ``SIGNS``."""
     part: list[str] = []
-    size = 0
-    for t in texts:
+    size, first = 0, 0
+    for k, t in enumerate(texts):
         part.append(t)
         size += len(t)
         if size >= SIGNS:
-            yield part
-            part, size = [], 0
+            yield first, part
+            part, size, first = [], 0, k + 1
     if part:
-        yield part
+        yield first, part
 
 
 def found(df: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Training of the personal-information tagger, in numpy.
 
-Labelled spans come from two places: texts composed here, with invented names, numbers, addresses
-and mailboxes set into carrier sentences; and texts of a bounded sample of landed rows whose spans
-are labelled by the shapes below. Both only make training data; finding is the network's work.
+Every labelled span is composed here: names, numbers, addresses and mailboxes are generated from the
+forms of many countries, none of them taken from the texts that are searched, and set into sentences
+of a bounded sample of a corpus that is not searched (``documents``). The weights in the repository
+are the mean of two trainings, this one and an earlier one it went on from (``mean``). Sentences as they are, firms,
+places and other numbers teach what is no personal information.
 
-    python -m quillmark.llm.pii_training --texts /root/testdata/sf0.1 --minutes 7
+    python -m quillmark.llm.pii_training --texts /root/testdata/sf0.1 --minutes 9 --resume
 """
 
 from __future__ import annotations
@@ -14,171 +16,207 @@ import multiprocessing as mp
 import random
 import re
 import time
+import unicodedata
 
 import numpy as np
 
 from quillmark.llm.pii import N_SIGNS, N_TAGS, TYPES, WEIGHTS, encode, load_weights
 
-#: Bound of the sample of labelled rows.
+#: Bound of the sample of carrier texts.
 SAMPLE = 40_000
 EMBED, HIDDEN, SPAN, GROUP = 20, 40, 112, 96
 
-GIVEN = """Agnes Alexander Amara Andrea Andreas Andrew André Anneke Anthony Barbara Benjamin Björn Carl Carla Charles Chloé
-Christine Christopher Claire Daniel David Deborah Dimitri Edward Elizabeth Erik Fatima François Frederick Gregory Günther Hans Helen
-Helena Hugo Ingrid Inês James Jacqueline Jeffrey Jennifer Jessica Johan Johanna Jonathan Joseph José Julian Juliana Jürgen Karl Karla Katherine
-Kenji Kenneth Lawrence Leila Lucía Magnus Margaret Maria Mario Marta Martin Martina Matthew Mei Michael Nicholas Noémie Norbert Oskar
-Patricia Patrick Paul Paula Peter Priya Rafael Rebecca Richard Robert Ronald Samuel Simon Simone Steven Susan Søren Theodore
-Thomas Timothy Tobias Viktor Viktoria Virginia William Yusuf Zoë Łukasz Anna Laura Emma Lukas Jan Piotr Olga Ivan Sofia Pablo Diego Luca
-Giulia Pierre Marie Henrik Lars Sven Pieter Joost Ana João Tiago Rita Dave Mike Mick Bob Rob Kate Kathy Liz Betty Beth Tom Bill Will Steve Jim Jimmy Larry Matt Jeff Jackie Rick Dick Rich Freddie Fred
-Becky Chuck Charlie Tim Sam Patty Pat Ginny Tina Chris Jon Joey Joe Ron Dan Danny Maggie Meg Ed Eddie Ted Ken Nick Alex Tony Drew Andy Ben Sue Debbie Jenny Jess Greg Marty Toby Bobby""".split()
-ENDING = "ard by dahl dorf eau eski ez feld ford gaard holm ini land ley lund man mão mark mayer mez núñez olm quist sen ski stad ström ton vic well win berg eski itz ova elli ano".split()
-ONSET = "Kor Mar Bel Tal Ver Ros Dal Gal Hol Len Sor Per Wal Zel Nor Pol Ral Sal Tor Var Yar El Ol Ul Fal Jar Bran Drau Prae Krai Green Böe Grü Déa Søo Fen Mol Cor Lan Quel".split()
-MIDDLE = "a e i o u al el il ol ul am em im om um an en in on un ar er ir or ur av ev iv ov uv ag eg ig og ug ab eb ib ob ub at et it ot ut as es is os us ak ek ik ok uk ad ed id od".split()
-TOWNS = "Greyhaven Norrvik Falkenau Saint-Aubrac Oldbrook Westmere Puerto_Claro Lindau Brackwater Ostrava_Mala Vila_Nova Hartfield".split()
-TREES = "Birch Elm Alder Quarry Station Foundry Mill Harbour Cedar Maple Juniper Oak Church Park King Queen Orchard Bridge Garden Forest Lake Hill".split()
-HOSTS = "example.com example.org example.net hr.example.com mail.example.net corp.example mail.example.org post.example team.example.com".split()
-
-SUR = r"[A-ZÀ-ÖØ-ÞŁa-zà-öø-ÿł][A-ZÀ-ÖØ-ÞŁa-zà-öø-ÿłńśęą'’-]{4,}"
-GIV = "|".join(sorted({re.escape(g) for g in GIVEN} | {re.escape(g.translate(str.maketrans("éöüëíêøçŁ", "eoueieocL"))) for g in GIVEN}, key=len, reverse=True))
-ENDS = "|".join(sorted({e for e in ENDING} | {"mao", "nunez", "strom", "eli", "sby", "ski"}, key=len, reverse=True))
-TAIL = rf"(?:[A-ZÀ-ÖØ-ÞŁa-zà-öø-ÿł]{{3,}}(?:{ENDS}))"
-SHAPES: dict[str, list[str]] = {
-    "email": [
-        r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\w",
-        r"[\w.+-]*\w ?(?:\[at\]|\(at\)| at ) ?(?:(?:hr|mail|corp|post|team)(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot ))?example(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )(?:com|org|net))?\b",
-    ],
-    "phone": [
-        r"\+44 20 7946 0\d{3}|\b020 7946 0\d{3}|\+49 30 23125 ?\d{3}|\b0049-30-23125\d{3}|\+33 1 99 00 \d\d \d\d",
-        r"\+1[ -]?\d{3}[ -]?555[ -]?01\d\d|\b1-\d{3}-555-01\d\d(?: ext\. ?\d{1,4})?|\(\d{3}\) 555-01\d\d|\b\d{3}[.-]555[.-]01\d\d\b|\b\d{3}55501\d\d\b",
-    ],
-    "id_number": [r"\b9\d\d-[5-9]\d-\d{4}\b|\b98765\d{4}\b|\bX\d{3} ?\d{5}\b|\bQQ ?\d\d ?\d\d ?\d\d ?[A-D]\b|\b\d\d \d{3} \d{3} \d{3}\b|\b\d{6}-\d{4}\b|\bD\d{3}-\d{4}-\d{4}\b"],
-    "address": [
-        r"Lindenstraße \d+(?:, \d{5} \w+)?|Am Mühlbach \d+|Calle del Olmo \d+(?:, 2º B)?|\d+ rue des Ormes(?:, [A-ZÀ-Þ][\w-]+(?: Claro)?)?|Via dei Tigli \d+(?:, [A-ZÀ-Þ][\w-]+(?: Claro)?)?",
-        r"(?:Flat \d+, )?\b\d{1,4}[a-z]? (?:Birch|Elm|Alder|Quarry|Station|Foundry|Mill|Harbour) (?:Avenue|Court|Row|Road|Drive|Way|Lane|Street)(?:, (?:Greyhaven|Norrvik|Falkenau|Saint-Aubrac|Oldbrook|Westmere|Puerto Claro))?",
-        r"\b\d{2,5} [NSEW]\. \w+ (?:St\.?|Rd\.?|Ave\.?|Blvd\.?)(?:, Apt \d+)?",
-    ],
-    "name": [
-        rf"(?i:\b(?:{GIV})(?: [A-Z]\.)? {TAIL}\b)",
-        rf"(?i:\b{TAIL},? (?:{GIV})(?: [A-Z]\.)?\b)",
-        rf"\b[A-Z]\.(?: ?[A-Z]\.)? {TAIL}\b|\b{TAIL}, [A-Z]\.(?: ?[A-Z]\.)?",
-        rf"\b[A-Z]{{1}} [A-Z] {TAIL}\b",
-    ],
-}
-ORDER = ("email", "phone", "id_number", "address", "name")
-COMPILED = {k: [re.compile(p) for p in ps] for k, ps in SHAPES.items()}
-#: Words that a surname-first shape must not take for a surname.
-NOT_SURNAME = re.compile(r"(?i)^(?:hotel|dear|with|photo|panel|happy|danke|merci|gracias|thanks|thank|system|women|human)\b")
-
-
-def label(text: str) -> np.ndarray:
-    tags = np.zeros(len(text), np.int8)
-    for kind in ORDER:
-        k = TYPES.index(kind)
-        for pattern in COMPILED[kind]:
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if kind == "name" and (NOT_SURNAME.match(m[0]) or (a and text[a - 1] in "@._")):
-                    continue
-                if not tags[a:b].any():
-                    tags[a:b] = 2 * k + 2
-                    tags[a] = 2 * k + 1
-    return tags
+#: Given names in common use; half of all names are built from syllables instead.
+GIVEN = """Aaron Adam Adele Agnes Aisha Alan Albert Alejandro Alexander Alice Amara Amit Ana Anders Andrea Andrei André Angela Anna Anneke Anthony Antonio Arthur Astrid
+Barbara Beatriz Ben Benjamin Bill Björn Bob Brian Bruno Camille Carl Carla Carlos Charles Charlotte Chiara Chloé Chris Christine Christopher Claire Clara Dan Daniel David Deborah Diego Dimitri
+Edward Elena Elizabeth Emma Erik Eva Fatima Fernando Filip Francesca Francisco François Frank Frederick Gabriel Giulia Greg Gregory Günther Hans Hassan Helen Helena Henrik Hugo Ingrid Inês Isabel Ivan
+Jacqueline Jakub James Jan Jean Jeff Jennifer Jessica Jim Joe Johan Johanna John Jonas Jonathan José Joseph Juan Julia Julian Jürgen Karl Kate Katarzyna Kenji Kenneth Lars Laura Lawrence Leila Lena Linda Lisa Luca Lucas Lucía Luis
+Łukasz Maggie Magnus Manuel Marc Margaret Maria Mario Mark Marta Martin Mary Matthew Mehmet Mei Michael Miguel Mike Mohammed Monika Natalia Nicholas Nick Nina Noémie Norbert Olga Oliver Olivia Omar Oskar
+Pablo Patricia Patrick Paul Paula Pedro Peter Petra Philip Pierre Pieter Piotr Priya Rachel Rafael Raj Rebecca Renata Ricardo Richard Rita Robert Roberto Ronald Rosa Samuel Sandra Sara Sergio Silvia Simon Simone Sofia Sophie Stefan Steven Susan Sven Søren
+Tatiana Theodore Thomas Tiago Tim Timothy Tobias Tom Tony Ursula Viktor Viktoria Virginia Vladimir Walter Wei William Yuki Yusuf Zoë Zofia""".split()
+ONSETS = "b br c ch d dr f fr g gr h j k kl kr l m n p pr r s sch sh st str t tr v w y z zh tch".split() + [""]
+VOWELS = "a e i o u a e i o ai au ei eo ia io ou y á é í ó ö ü ø å ã ę".split()
+CODAS = ["", "", "", "n", "r", "l", "s", "m", "k", "t", "nd", "ng", "rt", "lm", "ck", "x"]
+ENDINGS = "son sen ski sky wicz ova ov ev ic vić ez es ini elli etti ard berg mann man stein feld ford ton ley by dahl holm qvist lund strom gaard mark mayer sma stra ides oglu yan shvili chenko escu a i o e".split()
+PLACES = "Hill River Bay Port Lake Old New North South Green White Stone Mill King Queen Church Market Castle Bridge Elm Oak Cedar Maple Birch Park Garden Forest Spring Sun Ash Ford Field Haven Brook".split()
+LINES = "Foods Systems Industries Energy Insurance Holdings Capital Partners Group Bank Services Technologies Materials Labs Pharma Institute University Hotel Museum Foundation College Airlines Motors Media".split()
+LEGAL = "Ltd Inc Corp GmbH AG SA PLC LLC BV AB S.p.A. Co".split()
+
+
+def syllables(r: random.Random, n: int) -> str:
+    return "".join(r.choice(ONSETS) + r.choice(VOWELS) + r.choice(CODAS) for _ in range(n))
+
+
+def word(r: random.Random, lengths: tuple[int, ...] = (1, 2, 2, 3)) -> str:
+    made = syllables(r, r.choice(lengths))
+    return (made if len(made) > 1 else made + "an").capitalize()
+
+
+def given(r: random.Random) -> str:
+    name = r.choice(GIVEN) if r.random() < 0.55 else word(r, (1, 2, 2))
+    return f"{name}-{r.choice(GIVEN)}" if r.random() < 0.04 else name
 
 
 def surname(r: random.Random) -> str:
-    return r.choice(ONSET) + "".join(r.choice(MIDDLE) for _ in range(r.choice((1, 1, 2, 2)))) + r.choice(ENDING)
+    name = word(r, (1, 2, 2, 3)) if r.random() < 0.35 else (syllables(r, r.choice((1, 2, 2))) + r.choice(ENDINGS)).capitalize()
+    x = r.random()
+    if x < 0.05:
+        return f"{name}-{word(r)}"
+    if x < 0.1:
+        return r.choice(("de ", "de la ", "van ", "van der ", "von ", "da ", "das ", "di ", "Le ", "O’", "O'", "Mc", "al-", "El ")) + name
+    return name
 
 
-def make(kind: str, r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    plain = lambda s: s.translate(str.maketrans("éöüëíêøçúñãŁÉö", "eoueieocunaLEo"))
-    if kind == "name":
-        g, s, i = r.choice(GIVEN), surname(r), r.choice("ABCDEFGHIJKLMNOPQRSTUVWYZ")
-        j = r.choice("ABCDEFGHIJKLMNOPQRSTUVWYZ")
-        out = r.choice((f"{g} {s}", f"{g} {s}", f"{g} {s}", f"{g} {i}. {s}", f"{s}, {g}", f"{s}, {g}", f"{g[0]}. {s}", f"{g[0]}.{j}. {s}", f"{g[0]} {j} {s}", f"{s} {g}", f"{s}, {g[0]}.", f"{s}, {g} {i}."))
-        return r.choice((out, out, out, out, out.upper(), out.lower()))
-    if kind == "email":
-        g, s = plain(r.choice(GIVEN)).lower(), plain(surname(r)).lower()
-        local = r.choice((f"{g}.{s}", f"{g}_{s}{d(2)}", f"{g[0]}{s}", f"{g}", f"{s}+jobs", f"office-{d(2)}", f"{g}{d(3)}", f"{s}.{g}"))
-        host = r.choice(HOSTS)
-        style = r.choice((0, 0, 0, 0, 1, 2, 3, 4, 5))
-        if style == 0:
-            out = f"{local}@{host}"
-        elif style == 1:
-            out = f"{local} [at] {host}"
-        elif style == 2:
-            out = f"{local} (at) {host.replace('.', ' (dot) ')}"
-        elif style == 3:
-            out = f"{local} at {host.replace('.', ' dot ')}"
-        elif style == 4:
-            out = f"{local}(at){host}"
-        else:
-            out = f"{local} [at] {host.replace('.', ' [dot] ')}"
-        return r.choice((out, out, out, out.upper()))
-    if kind == "phone":
-        return r.choice((
-            f"+44 20 7946 0{d(3)}", f"020 7946 0{d(3)}", f"+49 30 {d(5)} {d(3)}", f"0049-30-{d(8)}", f"+33 1 {d(2)} {d(2)} {d(2)} {d(2)}", f"+1 {d(3)} 555 {d(4)}", f"({d(3)}) 555-{d(4)}",
-            f"{d(3)}.555.{d(4)}", f"{d(3)}555{d(4)}", f"+1{d(3)}555{d(4)}", f"1-{d(3)}-555-{d(4)} ext. {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+31 20 {d(3)} {d(4)}", f"{d(3)}-555-{d(4)}",
-        ))
-    if kind == "id_number":
-        return r.choice((f"9{d(2)}-{d(2)}-{d(4)}", f"98765{d(4)}", f"X{d(3)} {d(5)}", f"X{d(8)}", f"QQ{d(6)}{r.choice('ABCD')}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(6)}-{d(4)}", f"D{d(3)}-{d(4)}-{d(4)}"))
-    town = r.choice(TOWNS).replace("_", " ")
-    n = f"{r.randint(1, 299)}{r.choice(('', '', '', 'b', 'a'))}"
-    tree = r.choice(TREES)
-    way = r.choice(("Avenue", "Court", "Row", "Road", "Drive", "Way", "Lane", "Street", "Terrace", "Close"))
+def digits(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def filled(r: random.Random, form: str) -> str:
+    """``#`` a digit, ``@`` a capital letter."""
+    return "".join(digits(r, 1) if c == "#" else r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") if c == "@" else c for c in form)
+
+
+def person(r: random.Random) -> str:
+    g, s = given(r), surname(r)
+    i, j = (r.choice("ABCDEFGHIJKLMNOPQRSTUVWYZ") for _ in range(2))
+    out = r.choice((f"{g} {s}",) * 5 + (f"{g} {i}. {s}", f"{s}, {g}", f"{s}, {g}", f"{g[0]}. {s}", f"{g[0]}.{j}. {s}", f"{g[0]}. {j}. {s}", f"{g[0]} {j} {s}", f"{s} {g}", f"{s}, {g[0]}.", f"{s}, {g} {i}.", f"{g} {r.choice(GIVEN)} {s}", f"{g} {s} {surname(r)}"))
+    return r.choice((out,) * 5 + (out.upper(), out.lower()))
+
+
+AT = (" [at] ", " (at) ", "(at)", "[at]", " at ", " {at} ", " arroba ", " chiocciola ", " AT ", " @ ")
+DOT = (" dot ", " (dot) ", " [dot] ", ".", ".", " punto ", " punkt ", " point ")
+
+
+def plain(text: str) -> str:
+    folded = unicodedata.normalize("NFKD", text.translate(str.maketrans({"ø": "o", "ł": "l", "Ł": "L", "’": "", "'": ""})))
+    return re.sub(r"[^a-z0-9-]", "", folded.lower()) or "post"
+
+
+def email(r: random.Random) -> str:
+    g, s = plain(given(r)), plain(surname(r))
+    local = r.choice((f"{g}.{s}", f"{g}_{s}{digits(r, 2)}", f"{g[0]}{s}", g, f"{s}+jobs", f"office-{digits(r, 2)}", f"{g}{digits(r, 3)}", f"{s}.{g}", f"{g}-{s}", "info", "contact", "hr", f"{g[0]}.{s}"))
+    middle = r.choice((plain(word(r)), f"{plain(word(r))}-{r.choice(LINES).lower()}", "example", "example", "gmail", "mail", "company", f"mail.{plain(word(r))}", "hr.example", "post.example"))
+    host = f"{middle}.{r.choice('com com com org net de fr es pt it nl se pl ru co.uk io eu com.br example'.split())}"
+    if r.random() < 0.6:
+        out = f"{local}@{host}"
+    else:
+        at, dot = r.choice(AT), r.choice(DOT)
+        out = (local if r.random() < 0.7 else local.replace(".", dot)) + at + host.replace(".", dot)
+    return r.choice((out,) * 5 + (out.upper(),))
+
+
+def phone(r: random.Random) -> str:
+    x, gap = r.random(), r.choice((" ", " ", "-", ".", " "))
+    if x < 0.45:  # international: country, area, groups
+        body = gap.join(digits(r, r.choice((2, 3, 3, 4))) for _ in range(r.choice((2, 3, 3, 4))))
+        return f"{r.choice(('+', '+', '+', '00'))}{r.choice('1 7 20 31 33 34 36 39 41 44 45 46 47 48 49 52 55 61 81 86 91 351 353 420'.split())}{r.choice((' ', ' ', '-', '', ' (0)'))}{body}"
+    if x < 0.75:  # North American
+        return filled(r, r.choice(("(###) ###-####", "###-###-####", "###.###.####", "1-###-###-#### ext. ##", "##########", "+1###555####", "1 (###) ###-####", "###-555-01## x##", "### ### ####")))
+    return filled(r, r.choice(("0### ######", "020 #### ####", "0## #######", "0##-######", "0# ## ## ## ##", "(0##) #### ####", "0#### / ######", "### ### ###", "07### ######", "06-########", "(##) #####-####", "8 (###) ###-##-##")))
+
+
+IDS = (
+    "###-##-####", "###-##-####", "@@######@", "@@ ## ## ## @", "@########", "@### #####", "@#######", "#########", "98#######", "## ### ### ###", "###########", "######-####", "########-####", "###.###.###-##", "########@", "@-#######-@",
+    "@@@@@@##@##@###@", "### ### ####", "#### #### ####", "@###-####-####", "############", "###-###-### ##", "@@#######", "#.##.##.###.###-##", "######/####",
+)
+
+
+def id_number(r: random.Random) -> str:
+    return filled(r, r.choice(IDS))
+
+
+def town(r: random.Random) -> str:
+    return r.choice((word(r, (2, 3)), f"{r.choice(PLACES)}{r.choice(PLACES).lower()}", f"{r.choice(('Saint-', 'San ', 'Bad ', 'Puerto ', 'Vila ', 'Stary '))}{word(r)}", f"{r.choice(PLACES)}ton"))
+
+
+def address(r: random.Random) -> str:
+    n = f"{r.randint(1, 299)}{r.choice(('', '', '', '', 'b', 'a', ' bis'))}"
+    name = r.choice((word(r, (2, 2, 3)), r.choice(PLACES), f"{given(r)}", f"{r.choice(PLACES)} {r.choice(PLACES)}"))
+    way = r.choice("Avenue Court Row Road Drive Way Lane Street Terrace Close Crescent Place Square Boulevard".split())
+    short = r.choice(("St", "St.", "Rd.", "Ave", "Ave.", "Blvd", "Blvd.", "Dr", "Ln"))
+    code, place = r.choice((digits(r, 5), digits(r, 5), digits(r, 4), filled(r, "##-###"), filled(r, "#### @@"))), town(r)
+    end = r.choice(("", "", f", {place}", f", {code} {place}"))
+    stem = r.choice((word(r, (1, 2)), r.choice(GIVEN)))
     return r.choice((
-        f"Lindenstraße {n}, {d(5)} {town}", f"Am Mühlbach {n}", f"{surname(r)}straße {n}", f"Calle del Olmo {n}, 2º B", f"Calle {surname(r)} {n}", f"{n} rue des Ormes, {town}", f"{n} rue de {surname(r)}, {town}",
-        f"Via dei Tigli {n}, {town}", f"Via {surname(r)} {n}", f"Flat {r.randint(1, 40)}, {n} {tree} {way}", f"{n} {tree} {way}, {town}", f"{r.randint(100, 9999)} N. {tree} {r.choice(('St.', 'Rd.', 'Ave', 'Blvd'))}, Apt {r.randint(1, 99)}",
+        f"{n} {name} {way}{end}", f"{n} {name} {way}", f"Flat {r.randint(1, 60)}, {n} {name} {way}{end}", f"{r.randint(100, 9999)} {r.choice(('N. ', 'S. ', 'E. ', 'W. ', ''))}{name} {short}{r.choice(('', f', Apt {r.randint(1, 99)}', f', Suite {r.randint(100, 999)}'))}", f"{n} {name} {way}, {place} {filled(r, '@@# #@@')}",
+        f"{stem}{r.choice(('straße', 'strasse', 'str.', 'weg', 'platz', 'gasse', 'allee'))} {n}{end}", f"{r.choice(('Am', 'An der', 'Im', 'Zum', 'Auf dem'))} {word(r)} {n}{end}", f"{stem}er Straße {n}{end}",
+        f"{n}{r.choice((' ', ', '))}{r.choice(('rue', 'avenue', 'boulevard', 'place', 'chemin', 'allée'))} {r.choice(('de ', 'des ', 'du ', 'de la ', ''))}{name}{end}", f"{n} rue des {word(r)}s{end}",
+        f"{r.choice(('Calle', 'Avenida', 'Plaza', 'Paseo', 'C/'))} {r.choice(('', 'de ', 'del ', 'de la '))}{name}{r.choice((' ', ', '))}{n}{r.choice(('', ', 2º B', ', 3º izq.', end))}", f"{r.choice(('Rua', 'Avenida', 'Travessa', 'Praça'))} {r.choice(('', 'da ', 'do ', 'das '))}{name}, {n}{end}",
+        f"{r.choice(('Via', 'Viale', 'Piazza', 'Corso'))} {r.choice(('', 'dei ', 'della ', 'del '))}{name}{r.choice((' ', ', '))}{n}{end}", f"{stem}{r.choice(('straat', 'laan', 'weg', 'gracht', 'plein', 'kade'))} {n}{end}", f"{stem}{r.choice(('gatan', 'vägen', 'gränd', 'vej', 'gade', 'veien'))} {n}{end}",
+        f"{r.choice(('ul.', 'al.', 'pl.', 'os.'))} {name} {n}{r.choice(('', f'/{r.randint(1, 50)}', f' m. {r.randint(1, 50)}'))}{end}",
     ))
 
 
+MAKERS = {"name": person, "email": email, "phone": phone, "id_number": id_number, "address": address}
+
+
+def make(kind: str, r: random.Random) -> str:
+    return MAKERS[kind](r)
+
+
 FRAMES = {
-    "name": ("Great talk by {} today.", "Danke an {} für die Hilfe.", "Merci à {} pour son aide.", "Gracias a {} por todo.", "Big thanks to {}, who led this.", "Congratulations to {} on the new role!", "Panel: {} and two guests.", "my colleague {} will take over.",
-             "Photo by {}", "As {} told me: ship it.", "— {}", "{}", "({}).", "I met {} at the site last week.", "Happy birthday, {}!", "{} asked the best question.", "With {} and the whole crew.", "I met Dr. {} at the site last week.", "– {}.", "Thank you {}!"),
-    "email": ("You can reach me at {}, any time.", "mail {} ok?", "Contact: {}.", "Contact: <{}>.", "Escríbeme a {}.", "Write to {} for details.", "Schreibt mir: {}", "→ {}", "CVs please to {}", "Questions? {}", "({}).", "– {}.", "{}", "<{}>"),
-    "phone": ("Call me on {}.", "Text {} to sign up.", "{} after 5pm.", "Ruft an: {}.", "Appelez le {}.", "Llámame al {}.", "phone/WhatsApp: {}!", "Dial {} and ask for the desk.", "My cell is {}", "({}).", "– {}.", "{}"),
-    "id_number": ("SSN {} was on the form.", "My social security number {} leaked again.", "They printed my passport {} on the badge!", "Steuer-ID {}, please don't share.", "For the refund: personnummer {}.", "NI number: {} was on the form.", "Driver license {} leaked again.",
-                  "HR asked for it twice: SSN {}", "(national insurance no. {}).", "My Passport no. {} leaked again.", "personal tax ID {}, please don't share.", "– tax ID {}."),
-    "address": ("I live at {}, ring twice.", "Come to {} on Friday.", "Drop by: {}!", "Open house, {}.", "New office: {}", "Send samples to {}", "We moved to {}.", "({}).", "– {}.", "{}"),
+    "name": ("Great talk by {} today.", "Danke an {} für die Hilfe.", "Merci à {} pour son aide.", "Gracias a {} por todo.", "Obrigado a {} pelo apoio.", "Grazie a {} per il lavoro.", "Met dank aan {} voor de hulp.", "Tack till {} för hjälpen.", "Dziękuję, {}, za pomoc.", "Big thanks to {}, who led this.", "Congratulations to {} on the new role!",
+             "Panel: {} and two guests.", "my colleague {} will take over.", "Photo by {}", "As {} told me: ship it.", "— {}", "{}", "({}).", "I met {} at the site last week.", "Happy birthday, {}!", "{} asked the best question.", "With {} and the whole crew.", "I met Dr. {} at the site last week.", "– {}.", "Thank you {}!", "{} wrote to us.",
+             "Today {} joins the board.", "We interviewed {} about it.", "according to {}, it works", "Herr {} kommt morgen.", "Mme {} a répondu.", "Sr. {} respondió ayer.", "Meeting with {} and others at noon.", "Contact {} for details."),
+    "email": ("You can reach me at {}, any time.", "mail {} ok?", "Contact: {}.", "Contact: <{}>.", "Escríbeme a {}.", "Escreva para {}.", "Scrivimi a {}", "Write to {} for details.", "Schreibt mir: {}", "Mail naar {}.", "→ {}", "CVs please to {}", "Questions? {}", "({}).", "– {}.", "{}", "<{}>", "My address is {} now."),
+    "phone": ("Call me on {}.", "Text {} to sign up.", "{} after 5pm.", "Ruft an: {}.", "Appelez le {}.", "Llámame al {}.", "Ligue para {}.", "Chiamami al {}.", "Bel mij op {}.", "Ring mig på {}.", "Tel. {}", "Tel: {}", "phone/WhatsApp: {}!", "Dial {} and ask for the desk.", "My cell is {}", "My mobile: {}", "({}).", "– {}.", "{}", "Call {} or write."),
+    "id_number": ("SSN {} was on the form.", "My social security number {} leaked again.", "They printed my passport {} on the badge!", "Steuer-ID {}, please don't share.", "For the refund: personnummer {}.", "NI number: {} was on the form.", "Driver license {} leaked again.", "HR asked for it twice: SSN {}", "(national insurance no. {}).", "My Passport no. {} leaked again.",
+                  "personal tax ID {}, please don't share.", "– tax ID {}.", "Meine Steuernummer ist {}.", "Mon numéro de sécurité sociale : {}.", "Mi DNI es {}.", "Meu CPF é {}.", "Il mio codice fiscale: {}", "Mijn BSN is {}.", "Mój PESEL to {}.", "Aadhaar {} on file.", "NHS number {}.", "ID card {} was lost.", "CPF {}", "passport number {}", "NIF {}"),
+    "address": ("I live at {}, ring twice.", "Come to {} on Friday.", "Drop by: {}!", "Open house, {}.", "New office: {}", "Send samples to {}", "We moved to {}.", "({}).", "– {}.", "{}", "Ich wohne {}.", "Wir sind jetzt in der {}.", "J’habite au {}.", "Vivo en {}.", "Moro na {}.", "Abito in {}.", "Ik woon op {}.", "Jag bor på {}.", "Mieszkam przy {}.", "Parcels go to {}, please."),
 }
 DECOYS = (
     "Invoice {4}-{3}-{2} was paid late.", "Order {4}-{2} shipped on 2024-0{1}-1{1}.", "The room code is {2} {4}.", "Tracking {10} was delivered at noon.", "ISBN 978-{1}-{2}-{6}-{1} is on my desk.", "Case {3} of {4} closed today.", "We served {2} {3} {3} requests in 24 hours.",
     "Version {1}.{1}.{2}-rc1 goes live at 10:45.", "Batch {3}-{2} passed, batch {3}-{2} did not.", "See ticket OPS-{5} and build {2}.{1}.{1}.{4}.", "Revenue went from {1},{3},{3} to {1},{3},{3} in 2023-2024.", "Join us in Hall {1}, Room {3}, at 9.30.",
     "We met again at Hotel <g>.", "<g> & Partners advised us on the deal.", "Thanks <g>, see you.", "<s> & <g> Ltd won.", "Grand Avenue Partners joined the panel.", "Main Street cares more about this than any trader.", "Route {2} to growth, part {1} of {2}.",
     "We opened {2} new sites and {1} avenues of research.", "The {2} Hour Drive challenge starts again.", "{1} Roads to better data: a thread.", "Ping @finance_desk at the usual time.", "Follow @boardnotes and @dataguild for updates.", "Ratio {1}:1, margin {2}.5%, beta 0.{2}.",
-    "Thanks to the Northern Lights team and Blue Harbour Capital.", "The management of <s> Holdings is proud.", "Version QQ-{2} of the form is out.", "https://example.org/a/{6}",
+    "Thanks to the Northern Lights team and Blue Harbour Capital.", "The management of <s> <l> is proud.", "Version QQ-{2} of the form is out.", "https://example.org/a/{6}", "<s> <l> <f> reports today.", "Together with <s> <l>.", "<s> <l>.", "We thank <s> <l> for the data.", "The <s> <l> and <s> <l> <f> merged.", "Welcome, <g>!", "<g> said so.", "#<s> #<l> 2024",
+    "The city of <s> grew.", "From <p> <p> to Bad <s>.", "<l> and <l> lead the index.", "Board Meeting and Annual Report {4}.", "1.{2}\t1.{2}\t1.0{1}", "{7} {2} 3.{5} 2^10", "Chief Executive Officer", "Senior Vice President, Human Resources", "University of <s>", "{\"tags\": [\"<s>\", \"<l>\"]}",
 )
 
 
+def decoy(r: random.Random) -> str:
+    s = re.sub(r"\{(\d+)\}", lambda m: digits(r, int(m[1])), r.choice(DECOYS))
+    for mark, pool in (("<l>", LINES), ("<f>", LEGAL), ("<p>", PLACES)):
+        while mark in s:
+            s = s.replace(mark, r.choice(pool), 1)
+    while "<s>" in s:
+        s = s.replace("<s>", word(r, (2, 3)), 1)
+    return s.replace("<g>", r.choice(GIVEN))
+
+
 def compose(texts: list[str], r: random.Random) -> tuple[str, np.ndarray]:
     """A text with labelled spans."""
     base = r.choice(texts)
-    if r.random() < 0.65:
-        return base, label(base)
-    parts: list[tuple[str, np.ndarray]] = []
-    for s in re.split(r"(?<=[.!?])\s+", base)[:6]:
-        parts.append((s, label(s)))
-    for _ in range(r.randint(1, 3)):
-        if r.random() < 0.3:
-            s = re.sub(r"\{(\d+)\}", lambda m: "".join(r.choice("0123456789") for _ in range(int(m[1]))), r.choice(DECOYS))
-            s = s.replace("<g>", r.choice(GIVEN)).replace("<s>", surname(r).capitalize())
+    if r.random() < 0.06:
+        base = base.upper()
+    parts: list[tuple[str, np.ndarray]] = [(s, np.zeros(len(s), np.int8)) for s in re.split(r"(?<=[.!?])\s+", base)[: r.choice((1, 2, 4, 8))]]
+    if r.random() < 0.2:
+        parts = []
+    for _ in range(r.choice((0, 1, 1, 2, 3))):
+        if r.random() < 0.35:
+            s = decoy(r)
             tags = np.zeros(len(s), np.int8)
         else:
-            kind = r.choice(TYPES)
+            kind = r.choice((*TYPES, "name"))
             frame, value = r.choice(FRAMES[kind]), make(kind, r)
+            if parts and r.random() < 0.25:  # amid a sentence
+                words = parts.pop(r.randrange(len(parts)))[0].split(" ")
+                at = r.randint(0, len(words))
+                frame = " ".join([*words[:at], r.choice(("{}", "{}", "({})", "<{}>", "{},")), *words[at:]]) + "."
             a = frame.index("{}")
-            s = frame.replace("{}", value)
+            s = frame[:a] + value + frame[a + 2 :]
             tags = np.zeros(len(s), np.int8)
             k = TYPES.index(kind)
             tags[a : a + len(value)] = 2 * k + 2
             tags[a] = 2 * k + 1
         parts.insert(r.randint(0, len(parts)), (s, tags))
     glue = r.choice((" ", " ", "\n", "\n\n"))
-    text, tags = "", []
+    text, tags = "", [np.zeros(0, np.int8)]
     for s, t in parts:
         text += s + glue
         tags += [t, np.zeros(len(glue), np.int8)]
-    return text, np.concatenate(tags)
+    end = len(text) if r.random() < 0.2 else len(text.rstrip())  # most texts end with their last sign
+    return text[:end], np.concatenate(tags)[:end]
 
 
 def garble(text: str, tags: np.ndarray, r: random.Random) -> tuple[str, np.ndarray]:
@@ -197,7 +235,7 @@ def batch(texts: list[str], r: random.Random) -> tuple[np.ndarray, np.ndarray]:
     tags = np.zeros((GROUP, SPAN), np.int64)
     for row in range(GROUP):
         text, t = compose(texts, r)
-        if r.random() < 0.05:
+        while r.random() < 0.2:
             text, t = garble(text, t, r)
         codes = encode(text)
         spots = np.flatnonzero(t)
@@ -336,11 +374,18 @@ def train(texts: list[str], minutes: float, processes: int = 8, steps: int = 12,
     return w
 
 
+def mean(paths: list[str]) -> dict[str, np.ndarray]:
+    """Mean of weights of one training at several times, which generalises better than the last alone."""
+    held = [load_weights(p) for p in paths]
+    return {k: np.mean([w[k] for w in held], 0).astype(np.float32) for k in held[0]}
+
+
 def sample_texts(folder: str) -> list[str]:
+    """Sentences' source: texts of a corpus that is not searched, at most ``SAMPLE``."""
     import pyarrow.dataset as ds
 
-    rows = ds.dataset(f"{folder}/posts_combined.parquet").to_table(columns=["post_text", "reshared_text"])
-    texts = sorted({t for c in rows.columns for t in c.to_pylist() if t})
+    rows = ds.dataset(f"{folder}/documents.parquet").to_table(columns=["text"])
+    texts = sorted({t for t in rows.column(0).to_pylist() if t and t.strip()})
     random.Random(3).shuffle(texts)
     return texts[:SAMPLE]
 
