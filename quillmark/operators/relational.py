@@ -28,14 +28,10 @@ def submitted_prefix(df: DataFrame, key: Column, order: str, n: int) -> DataFram
 def batch_numbers(df: DataFrame, order: str, size: int) -> DataFrame:
     """Batch number by position, from 1. Positions come from per-range counts, so no global window is needed."""
     ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id() % (1 << 33))
-    ranged = ranged.persist()
-    sizes = sorted((r["__p"], r["n"]) for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    at, starts = 0, []
-    for p, n in sizes:
-        starts.append((p, at))
-        at += n
-    offset = reduce(lambda c, s: c.when(F.col("__p") == s[0], F.lit(s[1])), starts, F.when(F.lit(False), F.lit(0))) if starts else F.lit(0)
-    return ranged.withColumn("batch", F.floor((offset + F.col("__k")) / size) + 1).drop("__p", "__k")
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
+    # One row per range: the window sees the ranges, not the data.
+    starts = sizes.select(F.col("__p"), (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__start"))
+    return ranged.join(F.broadcast(starts), "__p").withColumn("batch", F.floor((F.col("__start") + F.col("__k")) / size) + 1).drop("__p", "__k", "__start")
 
 
 def priority_merge(df: DataFrame, keys: list[str], priority: Column, order: str, tags: str, fill: list[str], rest: list[str]) -> DataFrame:
@@ -67,7 +63,7 @@ def shares(df: DataFrame, key: str, digits: int = 4, with_null: bool = True) ->
     rows = df if with_null else df.where(F.col(key).isNotNull())
     total = rows.agg(F.count("*").alias("total"))
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(F.col("n") * 100.0 / F.col("total"), digits).alias("pct"))  # one row of totals
+    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.bround(F.col("n") * 100.0 / F.col("total"), digits).alias("pct"))  # one row of totals
 
 
 def binned(df: DataFrame, value: Column, edges: list[int]) -> DataFrame:
@@ -79,7 +75,7 @@ def binned(df: DataFrame, value: Column, edges: list[int]) -> DataFrame:
     total = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     # A row per bin only: the window without partitions sees the bins, not the data.
     out = counts.withColumn("total", total).where("bin IS NOT NULL")
-    return out.select("bin", "n", F.round(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"), F.round(F.sum("n").over(w) * 100.0 / F.col("total"), 4).alias("cumulative_pct"))
+    return out.select("bin", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 4).alias("pct"), F.bround(F.sum("n").over(w) * 100.0 / F.col("total"), 4).alias("cumulative_pct"))
 
 
 def cap_guard(counts: DataFrame, batch: str, n: str, cap: int = 1000) -> DataFrame:
@@ -117,12 +113,65 @@ def null_profile(df: DataFrame) -> DataFrame:
     """(column, nulls, pct) of every column in one pass."""
     row = df.agg(F.count("*").alias("__n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("nulls")) for c in df.columns]))
-    return row.select("__n", cells.alias("x")).select("x.column", "x.nulls", F.round(F.col("x.nulls") * 100.0 / F.nullif(F.col("__n"), F.lit(0)), 4).alias("pct"))
+    return row.select("__n", cells.alias("x")).select("x.column", "x.nulls", F.bround(F.col("x.nulls") * 100.0 / F.nullif(F.col("__n"), F.lit(0)), 4).alias("pct"))
+
+
+def optionally(df: DataFrame, predicate: Column | None) -> DataFrame:
+    """The rows of ``predicate``, all where none is asked for."""
+    return df if predicate is None else df.where(predicate)
+
+
+def search(df: DataFrame, column: str, text: str, most: int = 10) -> DataFrame:
+    """Distinct values that hold ``text``, any case; where there are none, the first ``most`` by name that hold any of its
+    words (a list of suggestions). One scan: both answers are looked for at once, and the better kind is kept."""
+    low, words = F.lower(F.col(column)), text.lower().split()
+    any_word = reduce(lambda a, b: a | b, [low.contains(w) for w in words], F.lit(False))
+    kind = F.when(low.contains(text.lower()), 0).when(any_word, 1)
+    found = df.select(F.col(column), kind.alias("__k")).where("__k IS NOT NULL").distinct()
+    best = found.agg(F.min("__k").alias("__best"))
+    kept = found.crossJoin(F.broadcast(best)).where("__k = __best")  # one row
+    hits, suggested = kept.where("__k = 0"), kept.where("__k = 1").orderBy(column).limit(most)
+    return hits.select(column).unionByName(suggested.select(column))
+
+
+def choose(df: DataFrame, order: str, number: int = 1) -> DataFrame:
+    """The row of that number in ``order``; the first by default."""
+    return df.orderBy(order).offset(number - 1).limit(1)
+
+
+def is_code(column: str, code: str) -> Column:
+    return F.coalesce(F.col(column) == code, F.lit(False))
+
+
+def clean_or_raw(df: DataFrame, column: str, suffix: str = "_clean") -> Column:
+    return F.col(column + suffix if column + suffix in df.columns else column)
+
+
+def stamped(stem: str, moment: Column) -> Column:
+    return F.concat(F.lit(f"{stem}_"), F.date_format(moment, "yyyyMMdd_HHmmss"))
+
+
+def latest_per_key(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    return first_per_key(df, keys, F.desc_nulls_last(time), F.desc(tie))
+
+
+def overriding(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join; of columns both sides have, those of ``left`` stay."""
+    return left.join(right.drop(*[c for c in left.columns if c != key]), key, "left")
+
+
+def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).distinct()
+
+
+def restored(*batches: DataFrame) -> DataFrame:
+    """All batches as they were landed, in one table."""
+    return reduce(DataFrame.unionByName, batches)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """A reproducible sample of ``n`` rows by hash order of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), F.col(key)).limit(n)
 
 
 def verified_true(c: Column) -> Column:

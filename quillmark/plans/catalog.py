@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.plans import linking, quality, registry, relations, sentiment, streams, training
+from quillmark.plans import linking, quality, registry, relations, rosters, sentiment, streams, training
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -12,7 +12,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, registry.Query]:
-    assert linking and quality and relations and streams  # imported for the queries they register
+    assert linking and quality and relations and rosters and streams  # imported for the queries they register
     return dict(registry.QUERIES) | dict(training.QUERIES)
 
 

@@ -175,11 +175,11 @@ def verify_table(spark: SparkSession, d: str) -> DataFrame:
     return out.select("hit_id", F.when(judged, F.col("director_score")).otherwise(0).alias("score"), F.when(~low, F.col("linkedin_url")).alias("linkedin_url"), F.when(low, "filtered_low_score").otherwise(F.col("search_status")).alias("search_status"))
 
 
-@query(f"SELECT count(*) AS n, CAST(sum(CAST({_ANY} AS INT)) AS BIGINT) AS lenient, CAST(sum(CAST({_BOTH} AS INT)) AS BIGINT) AS strict, round(sum(CAST({_BOTH} AS INT)) * 100.0::DOUBLE / nullif(count(*), 0), 4) AS strict_pct FROM ({_FLAGS}) WHERE linkedin_title IS NOT NULL")
+@query(f"SELECT count(*) AS n, CAST(sum(CAST({_ANY} AS INT)) AS BIGINT) AS lenient, CAST(sum(CAST({_BOTH} AS INT)) AS BIGINT) AS strict, round_even(sum(CAST({_BOTH} AS INT)) * 100.0::DOUBLE / nullif(count(*), 0), 4) AS strict_pct FROM ({_FLAGS}) WHERE linkedin_title IS NOT NULL")
 def compare_modes(spark: SparkSession, d: str) -> DataFrame:
     """Hits verified if any part of the name agrees, and if both do."""
     out = verified_hits(table(spark, d, "all_linkedin_urls").where("linkedin_title IS NOT NULL"))
-    return out.agg(F.count("*").alias("n"), F.count_if("name_verified").alias("lenient"), F.count_if(F.col("match_type") == "both").alias("strict"), F.round(F.try_divide(F.count_if(F.col("match_type") == "both") * 100.0, F.count("*")), 4).alias("strict_pct"))
+    return out.agg(F.count("*").alias("n"), F.count_if("name_verified").alias("lenient"), F.count_if(F.col("match_type") == "both").alias("strict"), F.bround(F.try_divide(F.count_if(F.col("match_type") == "both") * 100.0, F.count("*")), 4).alias("strict_pct"))
 
 
 @query(f"SELECT CAST(least(s // 10, 9) AS BIGINT) AS band, count(*) AS n FROM (SELECT {_DIRECTOR} AS s FROM ({_FLAGS})) GROUP BY 1")

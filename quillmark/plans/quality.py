@@ -34,18 +34,18 @@ def schema_check(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "column string, kind string")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, round(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*), 4) AS pct FROM posts_combined" for c in ("row_id", *POST_COLUMNS, "collected_at")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, round_even(count(*) FILTER ({c} IS NULL) * 100.0::DOUBLE / count(*), 4) AS pct FROM posts_combined" for c in ("row_id", *POST_COLUMNS, "collected_at")))
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
     return R.null_profile(table(spark, d, "posts_combined"))
 
 
-@query("SELECT post_type, count(*) AS n, round(count(*) FILTER (coalesce(post_text, '') = '') * 100.0::DOUBLE / count(*), 4) AS pct_without_text FROM posts_combined GROUP BY post_type")
+@query("SELECT post_type, count(*) AS n, round_even(count(*) FILTER (coalesce(post_text, '') = '') * 100.0::DOUBLE / count(*), 4) AS pct_without_text FROM posts_combined GROUP BY post_type")
 def null_rate_by_type(spark: SparkSession, d: str) -> DataFrame:
     empty = F.count_if(F.coalesce("post_text", F.lit("")) == "")
-    return table(spark, d, "posts_combined").groupBy("post_type").agg(F.count("*").alias("n"), F.round(empty * 100.0 / F.count("*"), 4).alias("pct_without_text"))
+    return table(spark, d, "posts_combined").groupBy("post_type").agg(F.count("*").alias("n"), F.bround(empty * 100.0 / F.count("*"), 4).alias("pct_without_text"))
 
 
-@query("SELECT post_type, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 4) AS pct FROM (SELECT post_type, count(*) AS n FROM posts_combined GROUP BY 1)")
+@query("SELECT post_type, n, round_even(n * 100.0::DOUBLE / sum(n) OVER (), 4) AS pct FROM (SELECT post_type, count(*) AS n FROM posts_combined GROUP BY 1)")
 def post_type_shares(spark: SparkSession, d: str) -> DataFrame:
     return R.shares(table(spark, d, "posts_combined"), "post_type")
 
@@ -89,10 +89,10 @@ def engagement_checks(spark: SparkSession, d: str) -> DataFrame:
     return _long(table(spark, d, "posts_combined").agg(F.count_if(total < 0).alias("negative"), F.count_if(total == 0).alias("zero"), F.count_if(total.isNull()).alias("missing"), F.count_if(gap > 0).alias("mismatch"), F.max(gap).alias("largest_gap"), F.percentile(total.cast("double"), F.lit(0.99)).alias("p99"), F.percentile(total.cast("double"), F.lit(0.999)).alias("p999"), F.max(total).alias("most")))
 
 
-@query("SELECT post_type, count(*) AS n, round(avg(reactions_total), 4) AS mean, round(quantile_cont(CAST(reactions_total AS DOUBLE), 0.5), 4) AS median, CAST(sum(coalesce(reactions_total, 0) + coalesce(comments, 0) + coalesce(reposts, 0)) AS BIGINT) AS engagement_reactions, CAST(sum(coalesce(likes, 0) + coalesce(comments, 0) + coalesce(reposts, 0)) AS BIGINT) AS engagement_likes FROM posts_combined GROUP BY post_type")
+@query("SELECT post_type, count(*) AS n, round_even(avg(reactions_total), 4) AS mean, round_even(quantile_cont(CAST(reactions_total AS DOUBLE), 0.5), 4) AS median, CAST(sum(coalesce(reactions_total, 0) + coalesce(comments, 0) + coalesce(reposts, 0)) AS BIGINT) AS engagement_reactions, CAST(sum(coalesce(likes, 0) + coalesce(comments, 0) + coalesce(reposts, 0)) AS BIGINT) AS engagement_likes FROM posts_combined GROUP BY post_type")
 def engagement_by_type(spark: SparkSession, d: str) -> DataFrame:
     z = lambda c: F.coalesce(c, F.lit(0))
-    return table(spark, d, "posts_combined").groupBy("post_type").agg(F.count("*").alias("n"), F.round(F.avg("reactions_total"), 4).alias("mean"), F.round(F.percentile(F.col("reactions_total").cast("double"), F.lit(0.5)), 4).alias("median"), F.sum(z("reactions_total") + z("comments") + z("reposts")).alias("engagement_reactions"), F.sum(z("likes") + z("comments") + z("reposts")).alias("engagement_likes"))
+    return table(spark, d, "posts_combined").groupBy("post_type").agg(F.count("*").alias("n"), F.bround(F.avg("reactions_total"), 4).alias("mean"), F.bround(F.percentile(F.col("reactions_total").cast("double"), F.lit(0.5)), 4).alias("median"), F.sum(z("reactions_total") + z("comments") + z("reposts")).alias("engagement_reactions"), F.sum(z("likes") + z("comments") + z("reposts")).alias("engagement_likes"))
 
 
 @query(_long_sql({"gvkey_missing": "count(*) FILTER (coalesce(gvkey, '') = '')", "gvkey_distinct": "count(DISTINCT gvkey)", "execid_missing": "count(*) FILTER (coalesce(execid, '') = '')", "tickers": "count(DISTINCT ticker)", "profiles": "count(DISTINCT profile_url)"}, "posts_combined"))
@@ -106,10 +106,10 @@ def ambiguous_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts_combined").where("gvkey <> ''").groupBy("gvkey").agg(F.countDistinct("ticker").alias("n_tickers"), F.countDistinct("company_name").alias("n_names")).where("n_tickers > 1 OR n_names > 1")
 
 
-@query("SELECT count(*) AS n_profiles, round(avg(n), 4) AS mean, round(quantile_cont(CAST(n AS DOUBLE), 0.5), 4) AS median, max(n) AS most, min(n) AS least, count(*) FILTER (n > 20) AS over_20 FROM (SELECT profile_url, count(DISTINCT post_url) AS n FROM posts_combined WHERE profile_url IS NOT NULL GROUP BY 1)")
+@query("SELECT count(*) AS n_profiles, round_even(avg(n), 4) AS mean, round_even(quantile_cont(CAST(n AS DOUBLE), 0.5), 4) AS median, max(n) AS most, min(n) AS least, count(*) FILTER (n > 20) AS over_20 FROM (SELECT profile_url, count(DISTINCT post_url) AS n FROM posts_combined WHERE profile_url IS NOT NULL GROUP BY 1)")
 def posts_per_profile(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "posts_combined").where("profile_url IS NOT NULL").groupBy("profile_url").agg(F.countDistinct("post_url").alias("n"))
-    return per.agg(F.count("*").alias("n_profiles"), F.round(F.avg("n"), 4).alias("mean"), F.round(F.percentile(F.col("n").cast("double"), F.lit(0.5)), 4).alias("median"), F.max("n").alias("most"), F.min("n").alias("least"), F.count_if(F.col("n") > 20).alias("over_20"))
+    return per.agg(F.count("*").alias("n_profiles"), F.bround(F.avg("n"), 4).alias("mean"), F.bround(F.percentile(F.col("n").cast("double"), F.lit(0.5)), 4).alias("median"), F.max("n").alias("most"), F.min("n").alias("least"), F.count_if(F.col("n") > 20).alias("over_20"))
 
 
 @query(f"SELECT strftime({_TS}, '%Y-%m') AS month, year({_TS}) AS year, count(*) AS n FROM posts_combined WHERE ({_TS}) IS NOT NULL GROUP BY 1, 2")
@@ -125,13 +125,13 @@ def posts_by_weekday(spark: SparkSession, d: str) -> DataFrame:
     return posts.groupBy(F.element_at(names, F.dayofweek("t")).alias("weekday")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT profile_url, n, floor(span / 86400) AS days, round(n * 1.0::DOUBLE / nullif(floor(span / 86400), 0), 6) AS per_day FROM (SELECT profile_url, count(*) AS n, CAST(epoch(max({_TS})) - epoch(min({_TS})) AS DOUBLE) AS span FROM posts_combined WHERE profile_url IS NOT NULL AND ({_TS}) IS NOT NULL GROUP BY 1)")
+@query(f"SELECT profile_url, n, floor(span / 86400) AS days, round_even(n * 1.0::DOUBLE / nullif(floor(span / 86400), 0), 6) AS per_day FROM (SELECT profile_url, count(*) AS n, CAST(epoch(max({_TS})) - epoch(min({_TS})) AS DOUBLE) AS span FROM posts_combined WHERE profile_url IS NOT NULL AND ({_TS}) IS NOT NULL GROUP BY 1)")
 def activity_span(spark: SparkSession, d: str) -> DataFrame:
     """Whole days between first and last post (of the full interval, not of calendar dates), and posts per day."""
     posts = table(spark, d, "posts_combined").select("profile_url", _moment().alias("t")).where("profile_url IS NOT NULL AND t IS NOT NULL")
     span = F.unix_timestamp(F.max("t")) - F.unix_timestamp(F.min("t"))
     out = posts.groupBy("profile_url").agg(F.count("*").alias("n"), F.floor(span / 86400).cast("double").alias("days"))
-    return out.withColumn("per_day", F.round(F.try_divide(F.col("n") * F.lit(1.0), F.col("days")), 6))
+    return out.withColumn("per_day", F.bround(F.try_divide(F.col("n") * F.lit(1.0), F.col("days")), 6))
 
 
 @query("SELECT record_id, '2020-01-0' || (record_id % 9 + 1) || ' 10:00:00' AS plain, CAST('2020-01-0' || (record_id % 9 + 1) || ' 10:00:00' AS TIMESTAMP) AS moment FROM raw_records")
@@ -142,11 +142,11 @@ def literal_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("record_id", plain.alias("plain"), literal_date(cell).alias("moment"))
 
 
-@query("SELECT count(*) AS n, round(avg(reactions_total), 4) AS mean, round(stddev_samp(reactions_total), 4) AS std, min(reactions_total) AS least, round(quantile_cont(CAST(reactions_total AS DOUBLE), 0.25), 4) AS p25, round(quantile_cont(CAST(reactions_total AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(reactions_total AS DOUBLE), 0.75), 4) AS p75, max(reactions_total) AS most FROM posts_combined WHERE reactions_total IS NOT NULL")
+@query("SELECT count(*) AS n, round_even(avg(reactions_total), 4) AS mean, round_even(stddev_samp(reactions_total), 4) AS std, min(reactions_total) AS least, round_even(quantile_cont(CAST(reactions_total AS DOUBLE), 0.25), 4) AS p25, round_even(quantile_cont(CAST(reactions_total AS DOUBLE), 0.5), 4) AS p50, round_even(quantile_cont(CAST(reactions_total AS DOUBLE), 0.75), 4) AS p75, max(reactions_total) AS most FROM posts_combined WHERE reactions_total IS NOT NULL")
 def describe_reactions(spark: SparkSession, d: str) -> DataFrame:
     v, x = F.col("reactions_total"), F.col("reactions_total").cast("double")
-    q = lambda p, n: F.round(F.percentile(x, F.lit(p)), 4).alias(n)
-    return table(spark, d, "posts_combined").where("reactions_total IS NOT NULL").agg(F.count("*").alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("least"), q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max(v).alias("most"))
+    q = lambda p, n: F.bround(F.percentile(x, F.lit(p)), 4).alias(n)
+    return table(spark, d, "posts_combined").where("reactions_total IS NOT NULL").agg(F.count("*").alias("n"), F.bround(F.avg(v), 4).alias("mean"), F.bround(F.stddev_samp(v), 4).alias("std"), F.min(v).alias("least"), q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max(v).alias("most"))
 
 
 @query("SELECT row_id, reactions_total FROM posts_combined WHERE reactions_total IS NOT NULL ORDER BY reactions_total DESC, row_id LIMIT 25")
@@ -163,7 +163,7 @@ def placeholder_rows(spark: SparkSession, d: str) -> DataFrame:
 # --- URL discovery ------------------------------------------------------------------------------------
 
 
-@query("SELECT search_status, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM all_linkedin_urls), 4) AS pct FROM all_linkedin_urls GROUP BY 1")
+@query("SELECT search_status, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM all_linkedin_urls), 4) AS pct FROM all_linkedin_urls GROUP BY 1")
 def search_status_shares(spark: SparkSession, d: str) -> DataFrame:
     return R.shares(table(spark, d, "all_linkedin_urls"), "search_status")
 
@@ -171,11 +171,11 @@ def search_status_shares(spark: SparkSession, d: str) -> DataFrame:
 _SIMPLE = "CASE WHEN contains(source, '|') THEN 'several' WHEN contains(source, 'director') THEN 'directors' WHEN contains(source, 'exec') THEN 'executives' WHEN contains(source, 'block') THEN 'blockholders' ELSE 'other' END"
 
 
-@query(f"SELECT {_SIMPLE} AS source, count(*) AS n, count(linkedin_url) AS found, count(*) FILTER (verified) AS verified, round(count(linkedin_url) * 100.0::DOUBLE / count(*), 4) AS found_pct, round(count(*) FILTER (verified) * 100.0::DOUBLE / nullif(count(linkedin_url), 0), 4) AS verified_pct FROM all_linkedin_urls GROUP BY 1")
+@query(f"SELECT {_SIMPLE} AS source, count(*) AS n, count(linkedin_url) AS found, count(*) FILTER (verified) AS verified, round_even(count(linkedin_url) * 100.0::DOUBLE / count(*), 4) AS found_pct, round_even(count(*) FILTER (verified) * 100.0::DOUBLE / nullif(count(linkedin_url), 0), 4) AS verified_pct FROM all_linkedin_urls GROUP BY 1")
 def discovery_by_source(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("source")
     simple = F.when(s.contains("|"), "several").when(s.contains("director"), "directors").when(s.contains("exec"), "executives").when(s.contains("block"), "blockholders").otherwise("other")
-    return table(spark, d, "all_linkedin_urls").groupBy(simple.alias("source")).agg(F.count("*").alias("n"), F.count("linkedin_url").alias("found"), F.count_if("verified").alias("verified"), F.round(F.count("linkedin_url") * 100.0 / F.count("*"), 4).alias("found_pct"), F.round(F.try_divide(F.count_if("verified") * 100.0, F.count("linkedin_url")), 4).alias("verified_pct"))
+    return table(spark, d, "all_linkedin_urls").groupBy(simple.alias("source")).agg(F.count("*").alias("n"), F.count("linkedin_url").alias("found"), F.count_if("verified").alias("verified"), F.bround(F.count("linkedin_url") * 100.0 / F.count("*"), 4).alias("found_pct"), F.bround(F.try_divide(F.count_if("verified") * 100.0, F.count("linkedin_url")), 4).alias("verified_pct"))
 
 
 @query("SELECT match_type, count(*) AS n FROM all_linkedin_urls WHERE verified GROUP BY match_type")
@@ -197,7 +197,7 @@ def outlier_companies(spark: SparkSession, d: str) -> DataFrame:
 _BINS = [0, 1, 2, 3, 5, 10, 20, 50]
 
 
-@query("SELECT bin, n, round(n * 100.0::DOUBLE / total, 4) AS pct, round(CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) * 100.0::DOUBLE / total, 4) AS cumulative_pct FROM (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT CAST(CASE " + " ".join(f"WHEN n > {a} AND n <= {b} THEN {k}" for k, (a, b) in enumerate(zip(_BINS, _BINS[1:], strict=False))) + f" END AS INTEGER) AS bin, count(*) AS n FROM ({_PER}) GROUP BY 1)) WHERE bin IS NOT NULL")
+@query("SELECT bin, n, round_even(n * 100.0::DOUBLE / total, 4) AS pct, round_even(CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) * 100.0::DOUBLE / total, 4) AS cumulative_pct FROM (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT CAST(CASE " + " ".join(f"WHEN n > {a} AND n <= {b} THEN {k}" for k, (a, b) in enumerate(zip(_BINS, _BINS[1:], strict=False))) + f" END AS INTEGER) AS bin, count(*) AS n FROM ({_PER}) GROUP BY 1)) WHERE bin IS NOT NULL")
 def profiles_per_company(spark: SparkSession, d: str) -> DataFrame:
     per = table(spark, d, "all_linkedin_urls").where("verified AND company_name <> ''").groupBy("company_name").agg(F.countDistinct("linkedin_url").alias("v"))
     return R.binned(per, F.col("v"), _BINS)
@@ -212,24 +212,24 @@ def merge_report(spark: SparkSession, d: str) -> DataFrame:
     return _long(table(spark, d, "posts_combined").agg(F.count("*").alias("n_rows"), c("company_name").alias("companies"), c("person_name").alias("people"), c("profile_url").alias("profiles"), c("post_url").alias("posts"), F.count_if(F.col("row_id") % 2 == 0).alias("first_batch_rows")))
 
 
-@query("SELECT company_name, count(*) AS n_rows, count(DISTINCT post_url) AS n_posts, count(DISTINCT person_name) AS n_people, round(avg(reactions_total), 4) AS mean_reactions FROM posts_combined WHERE company_name <> '' GROUP BY 1 ORDER BY n_posts DESC, company_name LIMIT 15")
+@query("SELECT company_name, count(*) AS n_rows, count(DISTINCT post_url) AS n_posts, count(DISTINCT person_name) AS n_people, round_even(avg(reactions_total), 4) AS mean_reactions FROM posts_combined WHERE company_name <> '' GROUP BY 1 ORDER BY n_posts DESC, company_name LIMIT 15")
 def top_companies(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "posts_combined").where("company_name <> ''").groupBy("company_name").agg(F.count("*").alias("n_rows"), F.countDistinct("post_url").alias("n_posts"), F.countDistinct("person_name").alias("n_people"), F.round(F.avg("reactions_total"), 4).alias("mean_reactions"))
+    per = table(spark, d, "posts_combined").where("company_name <> ''").groupBy("company_name").agg(F.count("*").alias("n_rows"), F.countDistinct("post_url").alias("n_posts"), F.countDistinct("person_name").alias("n_people"), F.bround(F.avg("reactions_total"), 4).alias("mean_reactions"))
     return per.orderBy(F.desc("n_posts"), "company_name").limit(15)
 
 
-@query("SELECT w.label, count(DISTINCT p.post_url) AS n_posts, round(avg(p.reactions_total), 4) AS mean_reactions FROM (VALUES ('David', 'group 1'), ('Helena', 'group 2')) w(first, label) JOIN posts_combined p ON split_part(p.person_name, ' ', 1) = w.first GROUP BY 1")
+@query("SELECT w.label, count(DISTINCT p.post_url) AS n_posts, round_even(avg(p.reactions_total), 4) AS mean_reactions FROM (VALUES ('David', 'group 1'), ('Helena', 'group 2')) w(first, label) JOIN posts_combined p ON split_part(p.person_name, ' ', 1) = w.first GROUP BY 1")
 def selected_people(spark: SparkSession, d: str) -> DataFrame:
     """Extract for a table of chosen people (a parameter), with a summary."""
     chosen = spark.createDataFrame([("David", "group 1"), ("Helena", "group 2")], "first string, label string")
     posts = table(spark, d, "posts_combined").withColumn("first", F.substring_index("person_name", " ", 1))
-    return posts.join(F.broadcast(chosen), "first").groupBy("label").agg(F.countDistinct("post_url").alias("n_posts"), F.round(F.avg("reactions_total"), 4).alias("mean_reactions"))
+    return posts.join(F.broadcast(chosen), "first").groupBy("label").agg(F.countDistinct("post_url").alias("n_posts"), F.bround(F.avg("reactions_total"), 4).alias("mean_reactions"))
 
 
-@query("SELECT batch_num, count(*) AS n, count(DISTINCT person_name) AS n_people, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n_requests, round(count(*) * 0.005::DOUBLE, 4) AS cost FROM all_linkedin_urls GROUP BY 1")
+@query("SELECT batch_num, count(*) AS n, count(DISTINCT person_name) AS n_people, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n_requests, round_even(count(*) * 0.005::DOUBLE, 4) AS cost FROM all_linkedin_urls GROUP BY 1")
 def batch_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Requests of a hundred and cost at five per thousand, per batch."""
-    return table(spark, d, "all_linkedin_urls").groupBy("batch_num").agg(F.count("*").alias("n"), F.countDistinct("person_name").alias("n_people"), F.ceil(F.count("*") / 100.0).cast("bigint").alias("n_requests"), F.round(F.count("*") * 0.005, 4).alias("cost"))
+    return table(spark, d, "all_linkedin_urls").groupBy("batch_num").agg(F.count("*").alias("n"), F.countDistinct("person_name").alias("n_people"), F.ceil(F.count("*") / 100.0).cast("bigint").alias("n_requests"), F.bround(F.count("*") * 0.005, 4).alias("cost"))
 
 
 @query("SELECT row_id, CASE WHEN n = 20 THEN 'CAPPED' ELSE '' END AS flag FROM (SELECT row_id, count(*) OVER (PARTITION BY profile_url) AS n FROM posts_combined WHERE profile_url IS NOT NULL)")

@@ -76,10 +76,10 @@ def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
     return R.duplicates(table(spark, d, "posts_combined").where("post_text IS NOT NULL").select("row_id", "post_text"), ["post_text"])
 
 
-@query("SELECT n_rows, n_distinct, n_rows - n_distinct AS n_repeats, round(n_rows * 1.0::DOUBLE / n_distinct, 6) AS ratio FROM (SELECT count(*) AS n_rows, count(DISTINCT post_url) AS n_distinct FROM posts_combined WHERE post_url IS NOT NULL)")
+@query("SELECT n_rows, n_distinct, n_rows - n_distinct AS n_repeats, round_even(n_rows * 1.0::DOUBLE / n_distinct, 6) AS ratio FROM (SELECT count(*) AS n_rows, count(DISTINCT post_url) AS n_distinct FROM posts_combined WHERE post_url IS NOT NULL)")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
     row = table(spark, d, "posts_combined").where("post_url IS NOT NULL").agg(F.count("*").alias("n_rows"), F.countDistinct("post_url").alias("n_distinct"))
-    return row.select("*", (F.col("n_rows") - F.col("n_distinct")).alias("n_repeats"), F.round(F.col("n_rows") * 1.0 / F.col("n_distinct"), 6).alias("ratio"))
+    return row.select("*", (F.col("n_rows") - F.col("n_distinct")).alias("n_repeats"), F.bround(F.col("n_rows") * 1.0 / F.col("n_distinct"), 6).alias("ratio"))
 
 
 @query(f"SELECT key, first_seen FROM (SELECT {_cut('profile_url')} AS key, min(row_id) AS first_seen FROM posts_combined WHERE profile_url IS NOT NULL GROUP BY 1) ORDER BY first_seen LIMIT 100")
@@ -167,14 +167,14 @@ def failure_guard(spark: SparkSession, d: str) -> DataFrame:
     return R.failure_guard(table(spark, d, "all_linkedin_urls"), "batch_num", ["hit_id"], status, 2)
 
 
-@query("SELECT l.batch_num, l.found, l.total, coalesce(h.n, 0) AS rows_seen, coalesce(h.found, 0) AS found_seen, round(coalesce(h.found, 0) * 100.0::DOUBLE / nullif(h.n, 0), 4) AS found_pct FROM batch_ledger l LEFT JOIN (SELECT batch_num, count(*) AS n, count(*) FILTER (search_status = 'found') AS found FROM all_linkedin_urls GROUP BY batch_num) h USING (batch_num)")
+@query("SELECT l.batch_num, l.found, l.total, coalesce(h.n, 0) AS rows_seen, coalesce(h.found, 0) AS found_seen, round_even(coalesce(h.found, 0) * 100.0::DOUBLE / nullif(h.n, 0), 4) AS found_pct FROM batch_ledger l LEFT JOIN (SELECT batch_num, count(*) AS n, count(*) FILTER (search_status = 'found') AS found FROM all_linkedin_urls GROUP BY batch_num) h USING (batch_num)")
 def batch_status(spark: SparkSession, d: str) -> DataFrame:
     seen = table(spark, d, "all_linkedin_urls").groupBy("batch_num").agg(F.count("*").alias("n"), F.count_if(F.col("search_status") == "found").alias("f"))
     ledger = table(spark, d, "batch_ledger").select("batch_num", "found", "total")
-    return ledger.join(seen, "batch_num", "left").select("batch_num", "found", "total", F.coalesce("n", F.lit(0)).alias("rows_seen"), F.coalesce("f", F.lit(0)).alias("found_seen"), F.round(F.coalesce("f", F.lit(0)) * 100.0 / F.nullif(F.col("n"), F.lit(0)), 4).alias("found_pct"))
+    return ledger.join(seen, "batch_num", "left").select("batch_num", "found", "total", F.coalesce("n", F.lit(0)).alias("rows_seen"), F.coalesce("f", F.lit(0)).alias("found_seen"), F.bround(F.coalesce("f", F.lit(0)) * 100.0 / F.nullif(F.col("n"), F.lit(0)), 4).alias("found_pct"))
 
 
-@query()
+@query("SELECT hit_id, person_name, linkedin_title FROM all_linkedin_urls WHERE lower(CAST(verified AS VARCHAR)) = 'true' ORDER BY md5('42|' || hit_id), hit_id LIMIT 20")
 def sampled_hits(spark: SparkSession, d: str) -> DataFrame:
     """A reproducible sample in hash order (a sampling operator)."""
     return R.sample(table(spark, d, "all_linkedin_urls").where(R.verified_true(F.col("verified"))), "hit_id", 20).select("hit_id", "person_name", "linkedin_title")
@@ -190,22 +190,12 @@ def flat_posts(spark: SparkSession, d: str) -> DataFrame:
     return J.posts(table(spark, d, "raw_records")).select("record_id", "item", "profile_url", "post_text", "post_url", "post_type", "author_name")
 
 
-@query()
-def flat_posts_full(spark: SparkSession, d: str) -> DataFrame:
-    return J.posts(table(spark, d, "raw_records"))
-
-
 _PROFILES = "SELECT record_id, unnest(json_keys(r)) AS username, unnest(list_transform(json_keys(r), lambda k: json_extract(r, '$.\"' || k || '\"'))) AS p FROM (SELECT record_id, payload::JSON->'results' AS r FROM raw_records WHERE record_kind = 'profile' AND json_valid(payload) AND json_type(payload::JSON) = 'OBJECT') WHERE json_type(r) = 'OBJECT' UNION ALL SELECT record_id, payload::JSON->>'username', payload::JSON FROM raw_records WHERE record_kind = 'profile' AND json_valid(payload) AND json_type(payload::JSON->'basic_info') = 'OBJECT'"
 
 
 @query(f"SELECT record_id, username, coalesce(nullif(p->'basic_info'->>'first_name', ''), nullif(p->'basic_info'->>'firstName', ''), '') AS first_name, coalesce(nullif(p->'basic_info'->>'last_name', ''), nullif(p->'basic_info'->>'lastName', ''), '') AS last_name, coalesce(p->'basic_info'->>'headline', '') AS headline FROM ({_PROFILES}) WHERE json_type(p) = 'OBJECT'")
 def flat_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return J.people(table(spark, d, "raw_records"))
-
-
-@query()
-def profile_positions(spark: SparkSession, d: str) -> DataFrame:
-    return J.jobs(table(spark, d, "raw_records"))
+    return J.people(table(spark, d, "raw_records")).select("record_id", "username", "first_name", "last_name", "headline")
 
 
 @query(f"SELECT username, coalesce(url, 'https://example.com/in/' || username) AS url FROM (SELECT DISTINCT username FROM ({_PROFILES}) WHERE username IS NOT NULL AND json_type(p) = 'OBJECT') LEFT JOIN (SELECT lower(regexp_extract({_cut('linkedin_url')}, '/in/([^/]+)', 1)) AS username, min({_cut('linkedin_url')}) AS url FROM all_linkedin_urls WHERE linkedin_url IS NOT NULL GROUP BY 1) USING (username)")

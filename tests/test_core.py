@@ -108,7 +108,7 @@ def test_flatten_tolerates_missing_objects(spark):
     raw = spark.createDataFrame(rows, "record_id long, record_kind string, payload string")
     out = J.posts(raw).where("record_id = 1").collect()
     assert len(out) == 1 and out[0]["author_name"] == "A" and out[0]["likes"] is None
-    assert J.people(raw).first()["first_name"] == "B" and J.jobs(raw).first()["exp_order"] == 2
+    assert J.people(raw).first()["first_name"] == "B" and J.jobs(raw).first()["position"] == 2
 
 
 def test_files_round_trip(spark, tmp_path):
