@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.session import spread
+from quillmark.session import cut, spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "pl", "ru")
 #: Other forms of a label (three-letter codes, English names).
@@ -46,7 +46,8 @@ PAD = 255
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#@]\w+|\{[^{}]*\}|\S*[\d_/\\<>{}=]\S*")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’')]*\s+|[\r\n]+|(?<=[.!?…][”»])\s*")
-LOWER_QUOTE = re.compile(r"[“„«\"]\s*[a-zà-öø-ÿа-я][^“”„«»\"]{0,200}[”“»\"]")
+#: A quotation that begins in small letters: a fragment within a sentence, never a sentence of its own.
+LOWER_QUOTE = re.compile(r"[“„«\"]\s*([a-zà-öø-ÿа-яęóąśłżźćń][^“”„«»\"]*)[”“»\"]")
 #: A segment of so many words and letters can make a language part of the mixture.
 LEAST_WORDS, LEAST_LETTERS = 3, 12
 #: Natural logarithm of the odds a further language must gain.
@@ -73,18 +74,45 @@ for _k, _c in enumerate(_LETTERS):
 _INDEX[ord("’")] = _INDEX[ord("'")]
 
 
-def segments(text: str | None) -> list[tuple[str, str, int]]:
-    """(segment as written, its words in lower case, number of words) of a text with words."""
+def segments(text: str | None) -> list[tuple[str, str, int, bool]]:
+    """(segment as written, its words in lower case, number of words, whole) of a text with words. Segments are sentences;
+    a quoted fragment is a segment of its own, of any length, but no whole sentence."""
     out = []
     for part in SENTENCE.split(text or ""):
         if not part:
             continue
-        words = WORD.findall(LOWER_QUOTE.sub(" ", NOISE.sub(" ", part)).lower())
-        if words:
-            out.append((part.strip(), f" {' '.join(words)} ", len(words)))
+        clean = NOISE.sub(" ", part)
+        pieces = [(part.strip(), LOWER_QUOTE.sub(" ", clean), True), *((m[0], m[1], False) for m in LOWER_QUOTE.finditer(clean))]
+        for raw, piece, whole in pieces:
+            if words := WORD.findall(piece.lower()):
+                out.append((raw, f" {' '.join(words)} ", len(words), whole))
     return out
 
 
+SEGMENTS = "array<struct<raw:string,words:string,n:int,whole:boolean>>"
+
+
+def split(df: DataFrame, key: str | None = None) -> DataFrame:
+    """(key, label, segments) of every text with words; cut once, read by each pass after it."""
+    kind = "" if key is None else f"`{key}` {df.schema[key].dataType.simpleString()}, "
+    cell = pa.list_(pa.struct([("raw", pa.string()), ("words", pa.string()), ("n", pa.int32()), ("whole", pa.bool_())]))
+    names = ([] if key is None else [key]) + ["label", "segments"]
+    first = 0 if key is None else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                cut_ = [segments(t) for t in part.column(first).to_pylist()]
+                kept = pa.array([k for k, segs in enumerate(cut_) if segs], pa.int64())
+                columns = [part.column(k).take(kept) for k in ([] if key is None else [0]) + [first + 1]]
+                cells = pa.array([[dict(zip(("raw", "words", "n", "whole"), x, strict=True)) for x in segs] for segs in cut_ if segs], cell)
+                yield pa.record_batch([*columns, cells], names=names)
+
+    columns = ([] if key is None else [F.col(key)]) + ["text", "lang"]
+    return cut(spread(df.select(*columns)).mapInArrow(run, f"{kind}label string, segments {SEGMENTS}"))
+
+
 def hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts in one row, and each text's bounds in it."""
     joined = "".join(texts)
@@ -116,58 +144,59 @@ class Models:
         return sums[stops] - sums[starts]
 
 
-def count(df: DataFrame, models: Models | None) -> np.ndarray:
-    """Trigram counts per language over all texts: by label, or by what ``models`` say of each
+def count(cut_: DataFrame, models: Models | None) -> np.ndarray:
+    """Trigram counts per language over all segments: by label, or by what ``models`` say of each
     sentence. Added up per partition first; the result is bounded by the letters, not the corpus."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    shared = cut_.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        tri = np.zeros((len(LANGUAGES), SIZE), np.int32)
+        tri = np.zeros(len(LANGUAGES) * SIZE, np.int32)
         some = False
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
-                words, lang = [], []
-                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    code = canonical(label)
-                    for _, w, n in segments(text):
-                        if n >= LEAST_WORDS:
-                            words.append(w)
-                            lang.append(LANGUAGES.index(code) if code in LANGUAGES else -1)
-                if not words:
+                lists = part.column(1)
+                cells = lists.flatten()
+                n = cells.field("n").to_numpy()
+                ok = n >= LEAST_WORDS
+                if not ok.any():
                     continue
                 some = True
-                which = np.array(lang)
-                if own is not None:
+                words = cells.field("words").filter(pa.array(ok)).to_pylist()
+                if own is None:
+                    code = [LANGUAGES.index(c) if (c := canonical(label)) in LANGUAGES else -1 for label in part.column(0).to_pylist()]
+                    which = np.repeat(np.array(code), np.diff(lists.offsets.to_numpy()))[ok]
+                else:
                     scores = own.likelihoods(words)
                     ranked = np.sort(scores, 1)
                     which = np.where(ranked[:, -1] - ranked[:, -2] > 5.0, scores.argmax(1), -1)
                 h, starts, stops = hashes(words)
-                owner = np.full(len(h), -1)
-                for k, (a, b) in enumerate(zip(starts, stops, strict=True)):
-                    owner[a:b] = which[k]
-                ok = owner >= 0
-                np.add.at(tri.reshape(-1), owner[ok] * SIZE + h[ok], 1)
+                owner = np.repeat(which, stops - starts + 2)[: len(h)]
+                for edge in (stops[:-1], stops[:-1] + 1):  # trigrams that span two segments
+                    owner[edge] = -1
+                slot = owner * SIZE + h
+                np.add.at(tri, slot[owner >= 0], 1)
         if some:
-            lang, slot = np.nonzero(tri)
-            yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(tri[lang, slot].astype(np.int64))], names=["lang", "slot", "n"])
+            at_ = np.flatnonzero(tri)
+            yield pa.record_batch([pa.array((at_ // SIZE).astype(np.int32)), pa.array((at_ % SIZE).astype(np.int32)), pa.array(tri[at_].astype(np.int64))], names=["lang", "slot", "n"])
 
-    rows = df.select("text", "lang").mapInArrow(run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = cut_.select("label", "segments").mapInArrow(run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     tri = np.zeros((SIZE, len(LANGUAGES)))
     tri[rows["slot"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
     return tri
 
 
-def train(df: DataFrame) -> Models:
-    """Models of the corpus: two rounds, labels first, own judgement of each sentence second."""
-    return Models(count(df, Models(count(df, None))))
+def train(cut_: DataFrame) -> Models:
+    """Models of the corpus, of the result of ``split``: two rounds, labels first, own judgement of each sentence second."""
+    return Models(count(cut_, Models(count(cut_, None))))
 
 
 def mixture(scores: np.ndarray, strong: np.ndarray) -> tuple[list[int], np.ndarray]:
     """Languages of a document and their proportions. ``scores``: log likelihoods, a row per segment;
     ``strong``: segments long enough to bring in a language. Languages join one by one while the
-    likelihood gains more than the penalty; proportions by expectation-maximisation."""
+    likelihood gains more than the penalty; proportions by expectation-maximisation. A document without a
+    strong segment has the one language that fits it best."""
     base = int(scores.sum(0).argmax())
     chosen, share = [base], np.array([1.0])
     best = scores[:, base].sum()
@@ -205,44 +234,50 @@ def _fit(scores: np.ndarray) -> tuple[float, np.ndarray]:
     return float((np.log((odds * share).sum(1)) + top[:, 0]).sum()), share
 
 
-def detect(df: DataFrame, models: Models, key: str = "doc_id") -> DataFrame:
+def detect(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per segment with words: (key, label, segment, text, lang, confidence, lang_share, n_langs).
 
     Null, blank and wordless texts give no rows. A confidence is the posterior of the language among
     all ten, spread by segment length; ties fall to the language listed first in ``LANGUAGES``.
-    Repeated rows are repeated. Only ``key``, ``text`` and ``lang`` are read."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    Repeated rows are repeated. Only ``key``, ``text`` and ``lang`` are read, and each text is cut once."""
+    cut_ = split(df, key)
+    shared = df.sparkSession.sparkContext.broadcast(train(cut_))
     kind = df.schema[key].dataType.simpleString()
     names = [key, "label", "segment", "text", "lang", "confidence", "lang_share", "n_langs"]
-    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS)
-                split = [segments(t) for t in part.column(1).to_pylist()]
-                scores = own.likelihoods([w for segs in split for _, w, _ in segs])
-                source, rows, k = [], [], 0
-                for doc, (segs, label) in enumerate(zip(split, part.column(2).to_pylist(), strict=True)):
-                    if not segs:
-                        continue
-                    s = scores[k : k + len(segs)]
-                    k += len(segs)
-                    strong = np.array([n >= LEAST_WORDS and len(w) - n - 1 >= LEAST_LETTERS for _, w, n in segs])
-                    chosen, share = mixture(s, strong)
-                    best = s[:, chosen].argmax(1)
-                    # Trigrams of a text overlap, so the odds are tempered before they are read as a posterior.
-                    soft = np.exp((s - s.max(1, keepdims=True)) / 3)
-                    soft /= soft.sum(1, keepdims=True)
-                    for seg, ((raw, *_), b) in enumerate(zip(segs, best, strict=True)):
-                        source.append(doc)
-                        rows.append((label, seg, raw, LANGUAGES[chosen[b]], float(soft[seg, chosen[b]]), float(share[b]), len(chosen)))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-                yield pa.record_batch([part.column(0).take(pa.array(source, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+                lists = part.column(2)
+                cells = lists.flatten()
+                words = cells.field("words").to_pylist()
+                s = own.likelihoods(words)
+                n, whole = cells.field("n").to_numpy(), cells.field("whole").to_numpy(zero_copy_only=False)
+                strong = whole & (n >= LEAST_WORDS) & (np.array([len(w) for w in words]) - n - 1 >= LEAST_LETTERS)
+                # Trigrams of a text overlap, so the odds are tempered before they are read as a posterior.
+                soft = np.exp((s - s.max(1, keepdims=True)) / 3)
+                soft /= soft.sum(1, keepdims=True)
+                sizes = np.diff(lists.offsets.to_numpy())
+                lang, share, langs = np.zeros(len(s), np.int64), np.zeros(len(s)), np.zeros(len(s), np.int32)
+                a = 0
+                for size in sizes:
+                    b = a + size
+                    if size == 1:
+                        lang[a], share[a], langs[a] = s[a].argmax(), 1.0, 1
+                    else:
+                        chosen, parts = mixture(s[a:b], strong[a:b])
+                        best = s[a:b, chosen].argmax(1)
+                        lang[a:b], share[a:b], langs[a:b] = np.array(chosen)[best], parts[best], len(chosen)
+                    a = b
+                doc = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                order = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [pa.array(order.astype(np.int32)), cells.field("raw"), pa.array(LANGUAGES).take(pa.array(lang)), pa.array(soft[np.arange(len(s)), lang]), pa.array(share), pa.array(langs)]
+                yield pa.record_batch([part.column(0).take(doc), part.column(1).take(doc), *columns], names=names)
 
     schema = f"`{key}` {kind}, label string, segment int, text string, lang string, confidence double, lang_share double, n_langs int"
-    return spread(df.select(key, "text", "lang")).mapInArrow(run, schema)
+    return cut_.mapInArrow(run, schema)
 
 
 def _label_code():  # noqa: ANN202
@@ -254,7 +289,7 @@ def _label_code():  # noqa: ANN202
 
 def per_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, label, label_code, lang, lang_share, confidence, n_langs): one row per language of a document."""
-    found = detect(df, train(spread(df.select("text", "lang"))), key)
+    found = detect(df, key)
     by = found.groupBy(key, "label", "lang", "n_langs").agg(F.max("lang_share").alias("lang_share"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_segments"))
     return by.withColumn("label_code", _label_code())
 

@@ -101,8 +101,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return languages.detect(docs, languages.train(docs))
+    return languages.detect(table(spark, d, "documents"))
 
 
 _CONTRIBUTOR = "lower(regexp_replace(regexp_replace(profile_url, '[?#].*$', '', 's'), '/+$', ''))"
