@@ -8,7 +8,7 @@ group of signs. The operator
 2. learns, per code page as the source of the cipher, which letter each symbol stands for by
    expectation-maximisation against the letter bigrams of the corpus itself; "nothing was
    replaced" is one of the alternatives, so correct text stays as it is,
-3. applies the learnt alphabet with ``translate()``, again and again for text decoded wrongly twice.
+3. applies the learnt alphabet with ``translate()``, until nothing changes, for text decoded wrongly several times.
 
 Values that hold U+FFFD lost signs for good: they are found, and what is left is kept as it is.
 """
@@ -31,10 +31,8 @@ from quillmark.session import cut, spread
 #: Single-byte code pages that UTF-8 text is read with by mistake.
 CODE_PAGES = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251")
 LOST = "�"
-ROUNDS = 3
 #: Symbols are held as single signs of a private plane while they are translated.
 PRIVATE = 0xF0000
-ALPHABET = 0x2200
 
 
 def _table(page: str) -> dict[int, str]:
@@ -145,30 +143,12 @@ def count_bigrams(df: DataFrame) -> DataFrame:
     Rows with cipher symbols or lost signs are left to the other side of the model.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | None = None
-        at: dict[int, int] = {}
         for batch in batches:
             text = "\n".join(v for v in batch.column(0).to_pylist() if v and LOST not in v and not has_symbol(v))
-            if not text:
-                continue
-            codes = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), np.uint32)
-            if total is None:
-                total = np.zeros((1024, 1024), np.int64)
-            look = np.zeros(int(codes.max()) + 1, np.int32)
-            look[codes] = 1
-            for c in np.flatnonzero(look):
-                if int(c) not in at and len(at) < 1023:
-                    at[int(c)] = len(at)
-                look[c] = at.get(int(c), 1023)
-            dense = look[codes]
-            total += np.bincount(dense[:-1].astype(np.int64) * 1024 + dense[1:], minlength=1 << 20).reshape(1024, 1024)
-        if total is not None:
-            back = np.full(1024, -1, np.int64)
-            for c, k in at.items():
-                back[k] = c
-            a, b = np.nonzero(total)
-            ok = (back[a] >= 0) & (back[b] >= 0)
-            yield pa.record_batch([pa.array(back[a[ok]]), pa.array(back[b[ok]]), pa.array(total[a[ok], b[ok]])], names=["a", "b", "n"])
+            if text:
+                codes = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+                pairs, n = np.unique(codes[:-1] << 21 | codes[1:], return_counts=True)
+                yield pa.record_batch([pa.array(pairs >> 21), pa.array(pairs & (1 << 21) - 1), pa.array(n)], names=["a", "b", "n"])
 
     return df.select("value").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -280,20 +260,19 @@ def repair(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     ``after`` then holds what could be given back. Equal rows give equal results; a null key is
     kept. Only ``key`` and ``fields`` are read. Bigrams are counted over all values.
     """
-    values = reduce(DataFrame.unionByName, [df.select(F.col(key), F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("c")
+    values = df.select(F.col(key), cells).select(key, "c.field", "c.value")
     values = values.where("value IS NOT NULL AND value <> ''")
     bigrams = Bigrams({(chr(r["a"]), chr(r["b"])): r["n"] for r in count_bigrams(spread(values)).collect()})
     leads = "".join(f"\\x{{{c:x}}}" for c in [*_LEADS, ord(LOST)])
     # Pushed next to the scan: most rows hold none of these signs.
     suspects = cut(spread(values.where(F.col("value").rlike(f"[{leads}]"))).withColumn("now", F.col("value")))
     open_, closed = swap_round(suspects, bigrams), []
-    for k in range(ROUNDS):
+    while not open_.isEmpty():  # until nothing changes; a change puts one sign for several, so this ends
         step = cut(decode_round(open_, bigrams))
         closed.append(step.where("NOT changed").drop("changed"))
         open_ = step.where("changed").drop("changed")
-        if k + 1 < ROUNDS and open_.isEmpty():
-            break
-    done = reduce(DataFrame.unionByName, [*closed, open_])
+    done = reduce(DataFrame.unionByName, closed, suspects.limit(0))
     lost = F.col("value").contains(LOST)
     return done.where((F.col("value") != F.col("now")) | lost).select(key, "field", F.col("value").alias("before"), F.col("now").alias("after"), (~lost).alias("restorable"))
 

@@ -25,6 +25,18 @@ def test_wrong_decoding_is_found_and_undone(spark):
     assert mojibake.found(df.limit(0)).count() == 0
 
 
+def test_every_bigram_is_counted_and_many_decodings_are_undone(spark):
+    odd = "".join(chr(0x4E00 + k) for k in range(3000))
+    counts = {(r["a"], r["b"]): r["n"] for r in mojibake.count_bigrams(spark.createDataFrame([(odd,), (odd,), (None,)], "value string")).collect()}
+    assert sum(counts.values()) >= 2 * 2999 and counts[0x4E00 + 2998, 0x4E00 + 2999] == 2
+    four = "Café für später"
+    for _ in range(4):
+        four = four.encode().decode("latin-1")
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN)] + [(900, four)], "row_id long, post_text string")
+    out = {r["row_id"]: r["after"] for r in mojibake.repair(df, "row_id", ("post_text",)).collect()}
+    assert out == {900: "Café für später"}
+
+
 def brute_cap(rows, cap):
     groups: dict = {}
     for row_id, url, score in rows:
