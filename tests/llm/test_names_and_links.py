@@ -53,6 +53,29 @@ def test_top_of_the_join(spark):
     assert top == {("a", "c"), ("b", "c"), ("c", "a"), ("d", "a")}
 
 
+def test_join_is_exact_however_meetings_are_split(spark, monkeypatch):
+    pool = "lanedtek lanedetk lanedek keladinski keladinsky keladin a ab zeligorard zeligorad ann anna annan schwarz schwarzenegger kristensen kristensenholdings andersson anderssondottir anders smith smithsonian".split()
+    df = spark.createDataFrame([(c,) for c in pool], "core string")
+    for together, depth, block in ((2, 6, 1000), (2, 2, 2), (1, 1, 3)):
+        monkeypatch.setattr(variants, "TOGETHER", together)
+        monkeypatch.setattr(variants, "DEPTH", depth)
+        monkeypatch.setattr(variants, "BLOCK", block)
+        got = {(r["a"], r["b"]): r["cosine"] for r in variants.sparse_cosine_join(df, 0.3).collect()}
+        want = brute_cosines(pool, 0.3)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_a_common_feature_alone_brings_no_vectors_together(spark, monkeypatch):
+    n, met = 3000, []
+    rows = [(f"v{k:04d}", f, w**0.5) for k in range(n) for f, w in (("all", 0.3), (f"ten{k // 10}", 0.3), (f"own{k}", 0.4))]
+    meetings = variants._meetings
+    monkeypatch.setattr(variants, "_meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    out = variants.cosine_join(spark.createDataFrame(rows, "id string, feature string, w double"), 0.5)
+    got = {(r["a"], r["b"]): r["cosine"] for r in out.collect()}
+    assert len(got) == n // 10 * 45 and all(a[:4] == b[:4] and abs(c - 0.6) < 1e-9 for (a, b), c in got.items())
+    assert sum(r["count"] ** 2 for r in met[0].groupBy("k").count().collect()) <= 20 * n
+
+
 def naive_linkage(edges: dict, least: float) -> set[frozenset]:
     clusters = {frozenset([n]) for p in edges for n in p}
     s = lambda a, b: sum(edges.get((min(x, y), max(x, y)), 0) for x in a for y in b) / (len(a) * len(b))
