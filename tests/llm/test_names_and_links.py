@@ -95,6 +95,12 @@ def test_average_linkage_equals_merging_one_by_one(spark):
     assert variants.average_linkage(spark.createDataFrame([], "a string, b string, score double")).count() == 0
 
 
+def test_linkage_of_many_rounds_ends(spark):
+    edges = [(f"n{i:02d}", f"n{k:02d}", 0.99 - 0.01 * k) for k in range(1, 14) for i in range(k)]
+    got = variants.average_linkage(spark.createDataFrame(edges, "a string, b string, score double"), 0.5).collect()
+    assert len(got) == 14 and {r["cluster"] for r in got} == {"n00"}
+
+
 def test_variants_of_one_entity(spark):
     people = ["Helena Greeneski", "Greeneski, Helena", "Helena Greenesik", "H. Greeneski", "helena greeneski", "Helen Greeneski", "Bob Grüadewell", "Robert GrÃ¼adewell", None, "", " ", "Helena Greeneski"]
     firms = ["Balepquil Industries Ltd", "Balepquil Ind", "Balepqiul Industries Limited", "Balepquil Technologies PLC", None, ""]
